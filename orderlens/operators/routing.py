@@ -159,11 +159,11 @@ def final_answer() -> Column:
                                          F.col("policy_confidence")))
         .when(missing == "order", result(NO_ORDER_TEXT, "policy_kb", 0.0))
         .when(missing == "image", result(NO_IMAGE_TEXT, "policy_kb", 0.0))
-        .when(intent == "return_risk",
+        .when((intent == "return_risk") & F.col("return_probability").isNotNull(),
               result(F.format_string(RISK_TEXT, percent_text(F.col("return_probability")),
                                      "risk_bucket", "cut_points"),
                      "return_risk_tool", F.col("return_probability")))
-        .when(intent == "image_classification",
+        .when((intent == "image_classification") & F.col("class_confidence").isNotNull(),
               result(F.format_string(IMAGE_TEXT, "predicted_category",
                                      percent_text(F.col("class_confidence"))),
                      "image_classifier_tool", F.col("class_confidence")))

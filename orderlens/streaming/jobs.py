@@ -41,6 +41,13 @@ def stream_screen(turns: DataFrame, text: str = "user_input", **phrases) -> Data
     return screen_turns(turns, text, **phrases)
 
 
+CARRY_OUTPUT = T.StructType([
+    T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+    T.StructField("intent", T.StringType()), T.StructField("late", T.BooleanType()),
+    T.StructField("session_order", T.StringType()),
+    T.StructField("session_image", T.StringType())])
+
+
 class _Carry(StatefulProcessor):
     """Keeps one small row per conversation: last order, last image, highest turn seen."""
 
@@ -53,38 +60,32 @@ class _Carry(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         # the rows of one conversation in one micro-batch, in any order
         batch = pd.concat(list(rows), ignore_index=True).sort_values("turn", kind="stable")
+        batch = batch.reset_index(drop=True)
         order, image, seen = self._session.get() if self._session.exists() else (None, None, -1)
         late = batch["turn"] <= seen
-        out = {"conv_id": batch["conv_id"], "turn": batch["turn"], "late": late}
+        out = batch[["conv_id", "turn", "intent"]].assign(late=late)
         for name, write, start in (("session_order", "order_write", order),
                                    ("session_image", "image_write", image)):
-            values = batch[write].astype(object).where(~late & batch[write].notna(), None)
+            written = batch[write].astype(object).where(~late & batch[write].notna(), None)
             # late turns sort first and see the stored state, later ones the last value written
-            filled = pd.concat([pd.Series([start], dtype=object), values]).ffill().iloc[1:]
-            out[name] = filled.where(filled.notna(), None)
-        result = pd.DataFrame(out)
-        final = result.iloc[-1]
+            held = pd.Series([start, *written], dtype=object).ffill()
+            out[name] = held.where(held.notna(), None).to_numpy()[1:]
+        final = out.iloc[-1]
         self._session.update((final["session_order"], final["session_image"],
                               int(max(seen, final["turn"]))))
-        yield result
+        yield out
 
     def close(self) -> None:
         pass
 
 
-CARRY_OUTPUT = T.StructType([
-    T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
-    T.StructField("late", T.BooleanType()), T.StructField("session_order", T.StringType()),
-    T.StructField("session_image", T.StringType())])
-
-
 def stream_carry_context(screened: DataFrame, order: str = "order_ref",
                          image: str = "image_path") -> DataFrame:
     """Context per conversation on a screened stream (conv_id, turn, intent, inputs).
 
-    The order input is text: a key, or a struct of features turned into JSON first. A turn older
-    than one already handled is answered from the current state, writes nothing and is marked
-    late. Adds the same columns as the batch `resolve_context`, for the keys and turn.
+    The order input is carried as text: a key, or a struct of features turned into JSON first. A
+    turn older than one already handled is answered from the current state, writes nothing and is
+    marked late. Gives the same columns as the batch `resolve_context` for the key and turn.
     """
     spark = screened.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -92,28 +93,12 @@ def stream_carry_context(screened: DataFrame, order: str = "order_ref",
     written = screened.select("conv_id", "turn", "intent",
                               order_write.cast("string").alias("order_write"),
                               image_write.alias("image_write"))
-    # the intent travels with the key columns, so the state only handles what it stores
-    carried = (written.select("conv_id", F.struct("turn", "intent").alias("t"), "order_write",
-                              "image_write")
-               .select("conv_id", F.col("t.turn").alias("turn"), F.col("t.intent").alias("intent"),
-                       "order_write", "image_write")
-               .groupBy("conv_id").transformWithStateInPandas(
-                   statefulProcessor=_CarryWithIntent(), outputStructType=_WITH_INTENT,
-                   outputMode="Append", timeMode="None"))
+    carried = written.groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=_Carry(), outputStructType=CARRY_OUTPUT, outputMode="Append",
+        timeMode="None")
     return with_resolution(carried, order, image)
 
 
-class _CarryWithIntent(_Carry):
-    def handleInputRows(self, key, rows, timerValues):
-        chunks = list(rows)
-        intents = pd.concat(chunks, ignore_index=True).sort_values("turn", kind="stable")["intent"]
-        for result in super().handleInputRows(key, iter(chunks), timerValues):
-            yield result.assign(intent=intents)
-
-
-_WITH_INTENT = T.StructType([*CARRY_OUTPUT.fields, T.StructField("intent", T.StringType())])
-
-
 def stream_score(orders: DataFrame, model, t_star: float) -> DataFrame:
     """Return risk and bucket of arriving orders."""
     return score_return_risk(orders, model, t_star)
