@@ -15,7 +15,7 @@ from ..sources import files as FS
 from ..sources.tables import table
 from ..streaming import read_stream, run_available, stream_score
 from . import settings as X
-from .queries import _query, split_orders, stored
+from .data_queries import _query, split_orders, stored
 
 
 def _logistic_pipeline(rows):
