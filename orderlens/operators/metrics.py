@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import at_least, div0, f1_score, log_loss_term, pp_delta
-from .running import Running, running
 
 
 def _flag(condition: Column) -> Column:
@@ -197,8 +196,9 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
             digits: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties count half); null where a class is absent.
 
-    Equal scores are merged first, then negatives are accumulated bucket by bucket, so neither a
-    heavily repeated score nor a large table is ever sorted by one task.
+    Equal scores are merged first. Pairs inside a score bucket are counted by a window over that
+    bucket, pairs across buckets from the bucket totals, so neither a heavily repeated score nor a
+    large table is ever sorted by one task, and the scores are read once.
     """
     by = list(by or [])
     value = F.col(score) if digits is None else F.round(F.col(score), digits)
@@ -206,15 +206,21 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
         F.sum(F.col(y).cast("bigint")).alias("pos"),
         F.sum((F.lit(1) - F.col(y)).cast("bigint")).alias("neg"))
         .withColumn("_bucket", F.floor(F.col("_s") * F.lit(4096))))
-    ahead = running(ties, by, [F.col("_s")], "_bucket",
-                    {"neg_before": Running("sum", F.col("neg"), default=0)})
-    doubled = (F.col("pos").cast("double")
-               * (F.lit(2) * F.col("neg_before") + F.col("neg")).cast("double"))
-    out = ahead.groupBy(*by).agg(F.sum(doubled).alias("_d"), F.sum("pos").alias("_p"),
-                                 F.sum("neg").alias("_n"))
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+
+    def ahead(keys, order):
+        w = (Window.partitionBy(*keys).orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(F.sum(neg).over(w), F.lit(0.0))
+
+    inside = (ties.withColumn("_ahead", ahead([*by, "_bucket"], "_s"))
+              .groupBy(*by, "_bucket").agg(F.sum(pos * (2 * F.col("_ahead") + neg)).alias("_d"),
+                                           F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    across = inside.withColumn("_ahead", ahead(by, "_bucket"))  # one row per score bucket
+    out = across.groupBy(*by).agg(F.sum(F.col("_d") + 2 * pos * F.col("_ahead")).alias("_d"),
+                                  F.sum(pos).alias("_p"), F.sum(neg).alias("_n"))
     return out.select(*by, F.try_divide(
-        F.col("_d"), F.lit(2.0) * F.col("_p").cast("double") * F.col("_n").cast("double"))
-        .alias("auc"))
+        F.col("_d"), F.lit(2.0) * F.col("_p") * F.col("_n")).alias("auc"))
 
 
 # ---- subgroups ------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,3 +42,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="orderlens-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, bytes_per_core: int = SPREAD_BYTES) -> DataFrame:
+    """Deals the rows of a small input out to all cores; a larger one is returned as it is.
+
+    A table below `bytes_per_core` per core may sit in one file, or one row group, and would keep a
+    single task busy. Above that size its own splits are numerous enough and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df

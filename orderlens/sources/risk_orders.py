@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import (bernoulli, clip, either, mask_null, return_logit, round_to, sigmoid)
 from ..operators.running import HOT_ROWS, Running, hot_bucket, hot_keys, plain_running, running
+from ..session import work_dir
+from .files import cache_features
 from .tables import table
 
 # Stand-ins in the star schema for the values that the score singles out.
@@ -83,6 +85,8 @@ def customer_history(facts: DataFrame, orders: DataFrame,
     if hot is None:
         out = plain_running(facts, ["o_custkey"], order, wanted)
     else:
+        # read twice below, so the joins behind it are run once into a written table
+        facts = cache_features(facts, work_dir(facts.sparkSession, "order-facts"))
         bucketed = hot_bucket(facts, "o_custkey", F.col("order_date"), hot)
         out = running(bucketed, ["o_custkey"], order, "_bucket", wanted)
     return (out.withColumn("customer_tenure_days",
