@@ -184,19 +184,36 @@ def answer_turns(df: DataFrame) -> DataFrame:
     return df.withColumn("final_answer", final_answer())
 
 
+NULL_SPREAD = 1024
+
+
+def left_lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, row_id: list[str],
+                ) -> DataFrame:
+    """Left join with a table that is unique on its key; `table_key` is dropped.
+
+    Most turns have no key for a given tool. Rows without a key get a second join column drawn
+    from their own id, so they do not all land in the partition of the null key; rows of one very
+    frequent key are split by the adaptive skew join.
+    """
+    spread_by = F.pmod(F.xxhash64(*row_id), F.lit(NULL_SPREAD))
+    left = df.withColumn("_spread", F.when(F.col(key).isNull(), spread_by).otherwise(F.lit(0)))
+    right = table.withColumn("_zero", F.lit(0).cast("bigint"))
+    return left.join(right, (F.col(key) == F.col(table_key)) & (F.col("_spread") == F.col("_zero")),
+                     "left").drop("_spread", "_zero", table_key)
+
+
 def attach_tools(resolved: DataFrame, *, evidence: DataFrame | None = None,
                  turn_key: str = "turn_key", risk: DataFrame | None = None,
                  images: DataFrame | None = None) -> DataFrame:
-    """Joins retrieval evidence by turn, risk scores by resolved_order and image classes by
-    resolved_image; each branch touches only its own turns because the key is null elsewhere."""
+    """Joins retrieval evidence by turn, risk scores (risk_key) by resolved_order and image
+    classes (image_key) by resolved_image."""
     out = resolved
     if evidence is not None:
         out = out.join(evidence.withColumnRenamed("query_id", turn_key), turn_key, "left")
     if risk is not None:
-        out = out.join(risk, F.col("resolved_order") == F.col("risk_key"), "left").drop("risk_key")
+        out = left_lookup(out, risk, "resolved_order", "risk_key", [turn_key])
     if images is not None:
-        out = out.join(images, F.col("resolved_image") == F.col("image_key"), "left").drop(
-            "image_key")
+        out = left_lookup(out, images, "resolved_image", "image_key", [turn_key])
     return out
 
 

@@ -13,13 +13,18 @@ from ..operators.routing import context_writes, screen_turns, with_resolution
 from ..session import ROCKSDB, work_dir
 
 
+# A conversation's rows of one micro-batch are ordered in one task, so the size of a micro-batch
+# bounds what that task holds even when one conversation sends a third of all rows.
+BATCH_BYTES = 4 << 30
+
+
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType,
-                max_files: int | None = None) -> DataFrame:
-    """A table's parquet files as a stream; `max_files` bounds each micro-batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+                max_files: int | None = None, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A table's parquet files as a stream; each micro-batch takes `max_files` files when given,
+    else about `max_bytes`."""
+    limit = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", max_bytes)
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+            .option(*limit).parquet(folder))
 
 
 def run_available(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -121,3 +121,17 @@ def test_transcripts_are_ordered_and_may_span_rows(answered):
     cut = {(r["conv_id"], r["part"]): r["turns"]
            for r in RT.transcript(answered, part_turns=1).collect()}
     assert len(cut) == len(CASES) and all(len(t) == 1 for t in cut.values())
+
+
+def test_rows_without_a_key_are_spread(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"))
+    table = spark.createDataFrame([(10, "ten"), (20, "twenty")], "tk bigint, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = RT.left_lookup(df, table, "k", "tk", ["id"])
+        got = {r["id"]: r["name"] for r in out.collect()}
+        assert "hashpartitioning(k" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 100 and got[10] == "ten" and got[20] == "twenty"
+    assert sum(v is not None for v in got.values()) == 2
