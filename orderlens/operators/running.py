@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+HOT_SAMPLE = 1_000
 
 
 @dataclass(frozen=True)
@@ -46,14 +47,21 @@ def _combine(kind: str, before: Column, inside: Column) -> Column:
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than `min_rows` rows, or None when there are none.
+    """Keys with about `min_rows` rows or more, or None when there are none.
 
-    One counting job over the key column, combined before its shuffle. It returns at most
-    (rows / min_rows) keys, which is what makes the result small enough to collect and broadcast;
-    knowing it before planning keeps the usual case at a single plain window.
+    One counting job over the key column. It only steers how a window is planned, never what it
+    returns, so for large limits the keys are counted on a sample (about 1,000 rows for a key at
+    the limit; half of that counts as hot) and the shuffle stays a thousandth of the table. Small
+    limits are counted exactly. At most (rows / (min_rows / 2)) keys come back, which is what makes
+    the result small enough to collect and broadcast.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.filter(F.col("_n") > F.lit(min_rows)).select(key)
+    share = min(1.0, HOT_SAMPLE / min_rows)
+    limit = min_rows if share == 1.0 else min_rows * share / 2
+    seen = df.select(key).filter(F.col(key).isNotNull())
+    if share < 1.0:
+        seen = seen.sample(share, seed=17)
+    counts = seen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.filter(F.col("_n") > F.lit(limit)).select(key)
     rows = found.collect()
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 

@@ -80,9 +80,15 @@ def _keep_best(table: pa.Table, k: int) -> pa.Table:
     return table.take(pa.array(order[np.arange(len(order)) - first < k]))
 
 
-def _small_side(df: DataFrame, small_rows: int):
-    """The rows as one Arrow table if there are at most `small_rows` of them, else None."""
-    held = df.limit(small_rows + 1).toArrow()
+def _small_side(df: DataFrame, key: str, small_rows: int):
+    """The rows as one Arrow table if there are at most `small_rows` of them, else None.
+
+    The check takes keys partition by partition and stops one past the limit, so a large side is
+    neither computed nor fetched; only a side known to be small is collected.
+    """
+    if len(df.select(key).take(small_rows + 1)) > small_rows:
+        return None
+    held = df.toArrow()
     return held if held.num_rows <= small_rows and held.nbytes <= SMALL_BYTES else None
 
 
@@ -104,10 +110,10 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, *, query_id:
         T.StructField("score", T.DoubleType()),
         *[c.schema[name] for name in carry]])
 
-    held = _small_side(q, small_rows)
+    held = _small_side(q, "query_id", small_rows)
     if held is not None:
         return _merge(_scan_corpus(c, held, k, exclude_self, digits, out_schema, carry), k, carry)
-    held = _small_side(c, small_rows)
+    held = _small_side(c, "item_id", small_rows)
     if held is not None:
         return _rank(_scan_queries(q, held, k, exclude_self, digits, out_schema, carry), carry)
     return _merge(_block_pairs(q, c, k, exclude_self, digits, out_schema, carry, block_rows), k,

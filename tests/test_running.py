@@ -31,6 +31,9 @@ def test_bucketed_running_equals_plain_window(spark):
     hot = hot_keys(df, "k", 100)
     assert [r["k"] for r in hot.collect()] == [0]
     assert hot_keys(df, "k", 10_000) is None
+    many = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(
+        F.col("id")).alias("k"))
+    assert [r["k"] for r in hot_keys(many, "k", 20_000).collect()] == [0]  # counted on a sample
     split = running(hot_bucket(df, "k", F.floor(F.col("i") / 20), hot), ["k"], [F.col("i")],
                     "_bucket", values())
     plain = plain_running(df, ["k"], [F.col("i")], values())
