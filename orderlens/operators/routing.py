@@ -239,6 +239,11 @@ def transcript(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
             .agg(F.sort_array(F.collect_list(entry)).alias("turns")))
 
 
+def transcript_json(transcripts: DataFrame) -> DataFrame:
+    """The turns of each transcript row as one JSON array."""
+    return transcripts.withColumn("turns", F.to_json("turns"))
+
+
 def few_shot_accuracy(spark, rows=None) -> DataFrame:
     """Share of labelled examples that the phrase lists classify as labelled."""
     examples = spark.createDataFrame(rows or FEW_SHOT, "user_input string, expected string")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -118,6 +120,9 @@ def test_transcripts_are_ordered_and_may_span_rows(answered):
     whole = {(r["conv_id"], r["part"]): r["turns"] for r in RT.transcript(answered).collect()}
     assert [t["turn"] for t in whole[(6, 0)]] == [0, 1]
     assert whole[(2, 0)][1]["debug"]["session_order"]["payment_method"] == "COD"
+    text = RT.transcript_json(RT.transcript(answered)).filter("conv_id = 3").first()["turns"]
+    turn = json.loads(text)[0]
+    assert turn["final_answer"]["confidence"] == 0.0 and turn["debug"] == {}
     cut = {(r["conv_id"], r["part"]): r["turns"]
            for r in RT.transcript(answered, part_turns=1).collect()}
     assert len(cut) == len(CASES) and all(len(t) == 1 for t in cut.values())
