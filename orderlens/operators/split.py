@@ -54,9 +54,11 @@ def test_quotas(df: DataFrame, label: str, test_size) -> DataFrame:
     wanted = (F.ceil(total * F.lit(test_size) - F.lit(1e-9)) if isinstance(test_size, float)
               else F.lit(int(test_size)).cast("bigint"))
     share = sizes.withColumn("_total", total).withColumn("_wanted", wanted)
-    share = share.withColumn("_whole", F.floor(F.col("_size") * F.col("_wanted") / F.col("_total")))
-    share = share.withColumn(
-        "_rest", F.col("_size") * F.col("_wanted") - F.col("_whole") * F.col("_total"))
+    # whole-number arithmetic wide enough for the product of two row counts
+    share = share.withColumn("_product", F.col("_size").cast("decimal(19,0)")
+                             * F.col("_wanted").cast("decimal(19,0)"))
+    share = share.withColumn("_whole", F.expr("_product div _total"))
+    share = share.withColumn("_rest", F.expr("_product % _total"))
     by_rest = Window.partitionBy().orderBy(F.desc("_rest"), "_label")
     left = F.col("_wanted") - F.sum("_whole").over(every)
     extra = (F.row_number().over(by_rest) <= left).cast("bigint")
