@@ -24,7 +24,7 @@ from ..sources import files as FS
 from ..sources.risk_orders import line_distance, risk_orders
 from ..sources.tables import table
 from ..streaming import (read_stream, run_available, stream_carry_context, stream_rates,
-                         stream_score, stream_screen)
+                         stream_screen)
 from . import settings as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,7 @@ def q_delivery_distance(spark, d):
 
 @_query
 def q_profile(spark, d):
-    return PR.table_profile(risk_orders(spark, d, distance=False), "returned", "rating_given")
+    return PR.table_profile(risk_orders(spark, d), "returned", "rating_given")
 
 
 @_query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import importance as I
@@ -13,7 +13,7 @@ from ..operators.prep import OrderPrep
 from ..session import work_dir
 from ..sources import files as FS
 from ..sources.tables import table
-from ..streaming import read_stream, run_available, stream_score
+from ..streaming import run_available, stream_score
 from . import settings as X
 from .data_queries import _query, split_orders, stored
 

@@ -485,7 +485,7 @@ def oracle_sql() -> dict[str, str]:
         "q_delivery_distance": _orders(
             "SELECT l_orderkey AS d_orderkey, km AS delivery_distance_km FROM distance"),
         "q_profile": _orders(
-            "SELECT count(*) AS n_rows, 12 AS n_columns, avg(returned::DOUBLE) AS rate, "
+            "SELECT count(*) AS n_rows, 13 AS n_columns, avg(returned::DOUBLE) AS rate, "
             "avg((rating_given IS NULL)::INT::DOUBLE) * 100 AS null_pct FROM scored"),
         "q_rate_by_category": _orders(rate.format(g="product_category")),
         "q_rate_by_payment": _orders(rate.format(g="payment_method")),

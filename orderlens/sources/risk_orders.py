@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import (bernoulli, clip, either, mask_null, return_logit, round_to, sigmoid)
+from ..functions import (bernoulli, clip, either, mask_null, return_logit, sigmoid)
 from ..operators.running import HOT_ROWS, Running, hot_bucket, hot_keys, plain_running, running
 from ..session import work_dir
 from .files import cache_features
