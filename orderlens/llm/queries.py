@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hosts, mix, urls
+from . import hosts, lines, mix, pack, urls
 from .base import read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = lines.line_dedup(read(spark, folder, "documents"))
+    return done.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.url_filter(read(spark, folder, "pages"), rules)
@@ -20,12 +25,21 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mix(read(spark, folder, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pack.pack_documents(read(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
+
+
 def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.host_rules(read(spark, folder, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op4_url_filter, op5_mix, op8_host_rules)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op8_host_rules)}
 
 
 OP4_SQL = r"""
