@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hosts, lines, mix, pack, urls
+from . import hosts, lines, mix, pack, spans, urls
 from .base import read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -34,12 +34,17 @@ def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack_documents(read(spark, folder, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op7_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = spans.span_dedup(read(spark, folder, "documents"))
+    return done.select("doc_id", "text", "n_sentences", "n_removed", "removed")
+
+
 def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.host_rules(read(spark, folder, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op8_host_rules)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup, op8_host_rules)}
 
 
 OP4_SQL = r"""
