@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hosts, lines, mix, pack, spans, urls
+from . import hosts, lines, mix, pack, permutation, quality, spans, urls
 from .base import read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -43,8 +43,18 @@ def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.host_rules(read(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_classifier(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op10_permutation_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    return permutation.permutation_search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def queries():
-    return {f.__name__: f for f in (op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup, op8_host_rules)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup, op8_host_rules,
+                                    op9_quality, op10_permutation_search)}
 
 
 OP4_SQL = r"""
