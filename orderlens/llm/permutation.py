@@ -35,7 +35,7 @@ def orders(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 def _search(pivots: np.ndarray, depth: int, share: float, least: int, k: int):
     n_pivots = len(pivots)
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         out = [[], [], []]
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
