@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hosts, lines, lm, mix, pack, permutation, quality, spans, urls
+from . import hosts, jaccard, lines, lm, mix, pack, permutation, quality, spans, urls
 from .base import read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -15,6 +15,10 @@ def op1_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm.lm_score(read(spark, folder, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, folder, "documents"), shingle=3, percent=90)
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = lines.line_dedup(read(spark, folder, "documents"))
     return done.select("doc_id", "text", "n_lines", "n_removed")
@@ -57,7 +61,7 @@ def op10_permutation_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_lm_score, op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup,
+    return {f.__name__: f for f in (op1_lm_score, op2_jaccard_join, op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup,
                                     op8_host_rules,                                     op9_quality, op10_permutation_search)}
 
 
