@@ -241,3 +241,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     even = F.floor(F.col("drawn") / F.col("n")) + F.when(F.col("i") <= F.col("drawn") % F.col("n"), 1).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target",
                          (passes * F.col("size") + even).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+                    shards: int = 16, seed: int = 0) -> DataFrame:
+    """The mix itself: whole documents, all columns, repeated as often as the mix takes them.
+
+    A document is one block. It is in the output once per full pass over its source, and once more
+    if the last pass takes at least half of its words, so a source misses its target by half a
+    document at most. Copies of the last pass go to the shard that drew them, those of full passes to
+    a shard chosen by a hash; each shard is one partition (of many files, if it is large) in random
+    order. Same defined cases as `mix`; documents without words are left out.
+    """
+    text = F.col(text_col).cast("string")
+    sized = stored(sized_documents(docs, id_col, text_col, source_col), "sized")
+    goal = stored(targets(sized, weights, share, cap), "targets")
+    pieces = mix_plan(sized, goal, shards, None, seed)
+    drawn = pieces.groupBy("uid", "block").agg(
+        F.sum("taken").alias("drawn"), F.min("shard").alias("drawn_shard"))
+    drawn = drawn.groupBy("uid").agg(F.sum("drawn").alias("drawn"), F.min("drawn_shard").alias("drawn_shard"))
+    once = sized.groupBy("uid").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.first("source").alias("source"))
+    goal = goal.select(F.col("source").alias("key"), F.floor(
+        F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int").alias("passes"))
+    plan = once.filter("size > 0").join(F.broadcast(goal), once["source"].eqNullSafe(goal["key"])) \
+        .join(drawn, "uid", "left")
+    extra = F.round(F.coalesce("drawn", F.lit(0)) / F.col("size"))  # of n rows with one text
+    plan = stored(plan.select("uid", "passes", (extra / F.col("n")).alias("extra"), "drawn_shard"), "plan")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(id_col), text).alias("uid"))
+    rows = rows.join(plan, "uid")
+    copies = F.col("passes") + F.when(F.col("extra") >= 0.5, 1).otherwise(0)
+    rows = rows.select("row", "uid", "passes", "drawn_shard", copies.cast("int").alias("copies")) \
+        .filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    n = 1 << max(0, math.ceil(math.log2(max(1, shards))))
+    shard = F.when(F.col("copy") > F.col("passes"), F.col("drawn_shard")).otherwise(
+        F.pmod(F.xxhash64("uid", "copy", F.lit(seed)), F.lit(n)))
+    rows = rows.select("row", shard.alias("shard"), F.xxhash64(F.lit(seed + 3), "uid", "copy").alias("place"))
+    return rows.repartition(n, "shard").sortWithinPartitions("shard", "place").select("row.*")

@@ -196,6 +196,36 @@ def _scored(model: QualityModel):
     return run
 
 
+def _fitted(docs, labels, id_col, text_col, label_col, folds, held_fold, options):
+    rows = stored(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+                           ["doc_id"]), "statistics")
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")) \
+        .filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    labelled = rows.filter(crc_mod(F.col("doc_id"), folds) != held_fold).join(known, "doc_id").select(
+        F.col("doc_id").cast("string").alias("key"), "features", "label")
+    return rows, fit(labelled, **options)
+
+
+def _passed(model: QualityModel, threshold: float, text_col: str):
+    def run(batches):
+        for batch in slices(batches, text_col):
+            score = model.score(features(batch.column(text_col)))
+            yield batch.filter(pa.array(score >= threshold))
+    return run
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "quality", folds: int = 5, held_fold: int = 0,
+                   threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of `docs` that score `threshold` or more, all columns as they are.
+
+    Fits like `quality_classifier` and measures the texts again while they pass, so documents are
+    neither joined nor shuffled. Same defined cases.
+    """
+    _, model = _fitted(docs, labels, id_col, text_col, label_col, folds, held_fold, options)
+    return docs.mapInArrow(_passed(model, threshold, text_col), docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        label_col: str = "quality", folds: int = 5, held_fold: int = 0,
                        threshold: float = 0.3, **options) -> DataFrame:
@@ -209,14 +239,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     used; without labels every score is 0.5; null ids are never learnt from; an empty table gives an
     empty result; other columns are not read.
     """
-    rows = stored(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                           ["doc_id"]), "statistics")
+    rows, model = _fitted(docs, labels, id_col, text_col, label_col, folds, held_fold, options)
     held = crc_mod(F.col("doc_id"), folds) == held_fold
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")) \
-        .filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    labelled = rows.filter(~held).join(known, "doc_id").select(
-        F.col("doc_id").cast("string").alias("key"), "features", "label")
-    model = fit(labelled, **options)
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_scored(model), f"doc_id {kind}, score double")
     return scored.select("doc_id", held.alias("held_out"), "score",
