@@ -25,8 +25,10 @@ END = np.uint64(0x5851F42D4C957F2D)  # the hash of the end of a text
 
 def squeeze(values: np.ndarray) -> bytes:
     """Integers by byte planes, compressed."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True) if len(values) else b""
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
 def unsqueeze(data: bytes, n: int, dtype) -> np.ndarray:

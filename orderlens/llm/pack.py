@@ -134,10 +134,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _round(capacity: int, full: float, carry: int, step: int, last: bool):
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(held).combine_chunks()
         sizes = table["size"].to_numpy().astype(np.int64)
         bins = best_fit(sizes, capacity)
         fill = np.array([int(sizes[b].sum()) for b in bins])
@@ -188,7 +188,7 @@ def pack(items: DataFrame, capacity: int = 4096, full: float = 0.995, carry: int
     level = items.select(F.col("length").cast("long").alias("size"), F.array(member).alias("members"))
     fields = T.StructType([T.StructField("merge", T.BooleanType()), T.StructField("sequence_id", T.LongType()),
                            T.StructField("size", T.LongType()), level.schema["members"]])
-    parts, step, done = level.rdd.getNumPartitions(), 0, []
+    parts, step, done = max(1, level.rdd.getNumPartitions()), 0, []
     while True:
         last = parts == 1
         packed = stored(level.mapInArrow(_round(capacity, full, carry, step, last), fields), "bins")
