@@ -8,20 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import class_name, pair_high, pair_low
 from .metrics import cell_counts
 
-# Own wording for the pairs that low-resolution product photos usually mix up.
-DEFAULT_EXPLANATIONS = [
-    ("Shirt", "T-shirt/top", "Both are short upper-body garments; collar and buttons are the only"
-                             " difference and vanish at low resolution."),
-    ("Coat", "Shirt", "Both have a straight torso and long sleeves; bulk and collar are too fine"
-                      " to see at low resolution."),
-    ("Pullover", "Shirt", "Same torso-and-sleeves outline; knit against weave cannot be seen."),
-    ("Sandal", "Sneaker", "Low shoes from the side; straps against a closed toe is a texture"
-                          " detail."),
-    ("Ankle boot", "Sneaker", "Similar shoe outline; the height of the shaft differs by few"
-                              " pixels."),
-    ("Coat", "Pullover", "Both are bulky upper-body garments with a rounded outline."),
-]
-DEFAULT_TEXT = "%s and %s have similar outlines at this resolution, which makes a mix-up plausible."
+NO_TEXT = "No explanation is on record for %s and %s."
 
 
 def confusion_matrix(df: DataFrame, y: str, predicted: str, labels: list) -> DataFrame:
@@ -62,18 +49,32 @@ def top_confused_pairs(cells: DataFrame, n: int = 2) -> DataFrame:
             .orderBy(F.desc("n"), F.desc("true_label"), F.desc("pred_label")).limit(n))
 
 
-def explanations(spark, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or DEFAULT_EXPLANATIONS,
-                                 "name_a string, name_b string, text string")
+def label_texts(df: DataFrame, label: str, names: list[str], reach: int) -> DataFrame:
+    """(name_a, name_b, text): how often both classes occur, for classes at most `reach` apart.
 
+    A table of texts that the data itself gives; any table of these columns explains pairs.
+    """
+    n = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = n.select(F.col("label").alias("a"), F.col("n").alias("n_a")), n.select(
+        F.col("label").alias("b"), F.col("n").alias("n_b"))
+    near = a.join(F.broadcast(b), (F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= reach))  # one row per class
+    name_a, name_b = class_name(F.col("a"), names), class_name(F.col("b"), names)
+    return near.select(name_a.alias("name_a"), name_b.alias("name_b"), F.format_string(
+        "%d rows are %s, %d are %s.", "n_a", name_a, "n_b", name_b).alias("text"))
 
-def explain_pairs(pairs: DataFrame, texts: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Adds `explanation` to pairs: the text for the unordered pair, else a templated one."""
+
+def explain_pairs(pairs: DataFrame, texts: DataFrame | None = None,
+                  names: list[str] | None = None) -> DataFrame:
+    """Adds `explanation` to pairs: the text that `texts` (name_a, name_b, text) has for the
+    unordered pair, else a neutral sentence."""
     true_name, pred_name = F.col("true_label"), F.col("pred_label")
     if names is not None:
         true_name, pred_name = class_name(true_name, names), class_name(pred_name, names)
     named = (pairs.withColumn("true_name", true_name.cast("string"))
              .withColumn("pred_name", pred_name.cast("string")))
+    neutral = F.format_string(NO_TEXT, "true_name", "pred_name")
+    if texts is None:
+        return named.select("true_label", "pred_label", "n", neutral.alias("explanation"))
     keyed = texts.select(pair_low(F.col("name_a"), F.col("name_b")).alias("_lo"),
                          pair_high(F.col("name_a"), F.col("name_b")).alias("_hi"), "text")
     found = named.join(
@@ -81,8 +82,7 @@ def explain_pairs(pairs: DataFrame, texts: DataFrame, names: list[str] | None =
         (pair_low(F.col("true_name"), F.col("pred_name")) == F.col("_lo"))
         & (pair_high(F.col("true_name"), F.col("pred_name")) == F.col("_hi")), "left")
     return found.select("true_label", "pred_label", "n", F.coalesce(
-        F.col("text"), F.format_string(DEFAULT_TEXT, "true_name", "pred_name"))
-        .alias("explanation"))
+        F.col("text"), neutral).alias("explanation"))
 
 
 def evaluation_report(df: DataFrame, y: str, predicted: str, names: list[str],
@@ -91,7 +91,6 @@ def evaluation_report(df: DataFrame, y: str, predicted: str, names: list[str],
     """Long-form report (section, line_no, text): accuracy, matrix, per-class metrics, pairs."""
     from .metrics import metrics_of_cells
 
-    spark = df.sparkSession
     labels = list(range(len(names)))
     cells = cell_counts(df, y, predicted)
     total = cells.agg(F.sum("n").alias("n"), F.sum(
@@ -112,7 +111,7 @@ def evaluation_report(df: DataFrame, y: str, predicted: str, names: list[str],
         F.lit("per_class").alias("section"), F.col("label").alias("line_no"),
         F.format_string("%s precision=%.4f recall=%.4f", class_name(F.col("label"), names),
                         "precision", "recall").alias("text"))
-    pairs = explain_pairs(top_confused_pairs(cells, n_pairs), texts or explanations(spark), names)
+    pairs = explain_pairs(top_confused_pairs(cells, n_pairs), texts, names)
     order = Window.partitionBy().orderBy(F.desc("n"), F.desc("true_label"), F.desc("pred_label"))
     pair_lines = pairs.select(
         F.lit("confused_pairs").alias("section"),

@@ -1,6 +1,7 @@
 """Evaluation of scores and class predictions.
 
 All counts are combined before their shuffle. A sweep over many thresholds reads the scores once.
+Rows whose label, prediction or score is null are left out of every measure.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
             .withColumn("f1", f1_score(tp, tp + fp, tp + fn)))
 
 
+def _both(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+
 def cell_counts(df: DataFrame, y: str, predicted: str) -> DataFrame:
-    """Rows per (true class, predicted class)."""
-    return df.groupBy(F.col(y).alias("t"), F.col(predicted).alias("p")).agg(
+    """Rows per (true class, predicted class); rows without one of the two are left out."""
+    return _both(df, y, predicted).groupBy(F.col(y).alias("t"), F.col(predicted).alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -97,8 +102,9 @@ def metrics_of_cells(cells: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def accuracy(df: DataFrame, y: str, predicted: str) -> DataFrame:
-    return df.agg(F.avg((F.col(y) == F.col(predicted)).cast("double")).alias("accuracy"),
-                  F.count(F.lit(1)).alias("n_rows"))
+    return _both(df, y, predicted).agg(
+        F.avg((F.col(y) == F.col(predicted)).cast("double")).alias("accuracy"),
+        F.count(F.lit(1)).alias("n_rows"))
 
 
 def log_loss(df: DataFrame, probs: str, label: str) -> DataFrame:
@@ -155,7 +161,7 @@ def threshold_sweep(df: DataFrame, y: str, score: str, *, by: list[str] | None =
     """
     by = list(by or [])
     n = int((hi - lo) / step + 1e-9) + 1
-    counts = (df.groupBy(*by, thresholds_cleared(F.col(score), lo, step, n).alias("_cleared"))
+    counts = (_both(df, y, score).groupBy(*by, thresholds_cleared(F.col(score), lo, step, n).alias("_cleared"))
               .agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("rows")))
     zero = F.lit(0).cast("bigint")
     reached = F.col("_cleared") > F.col("i")
@@ -202,7 +208,7 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
     """
     by = list(by or [])
     value = F.col(score) if digits is None else F.round(F.col(score), digits)
-    ties = (df.groupBy(*by, value.alias("_s")).agg(
+    ties = (_both(df, y, score).groupBy(*by, value.alias("_s")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"),
         F.sum((F.lit(1) - F.col(y)).cast("bigint")).alias("neg"))
         .withColumn("_bucket", F.floor(F.col("_s") * F.lit(4096))))

@@ -133,18 +133,24 @@ def predict_class(df: DataFrame, names: list[str], probs: str = "probs") -> Data
 def score_vectors(df: DataFrame, make_predict_fn, vector: str = "embedding",
                   output: str = "logits", batch_size: int = 64) -> DataFrame:
     """Adds the output of a user's model; `make_predict_fn` runs once per Python worker and
-    returns a function from a batch of vectors to a batch of vectors."""
-    width = F.size(vector)
+    returns a function from a batch of vectors to a batch of vectors.
+
+    Every row stays: one whose vector is null, holds nulls or has another than the commonest length
+    gets a null output."""
+    width = _width(df, vector)
     infer = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                              batch_size=batch_size, input_tensor_shapes=[[_width(df, vector)]])
-    return df.filter(width > 0).withColumn(output, infer(F.col(vector).cast("array<float>")))
+                              batch_size=batch_size, input_tensor_shapes=[[width]])
+    whole = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull())
+    filler = F.array_repeat(F.lit(0.0).cast("float"), width)
+    fed = F.when(F.coalesce(whole, F.lit(False)), F.col(vector).cast("array<float>")).otherwise(filler)
+    return df.withColumn(output, F.when(F.coalesce(whole, F.lit(False)), infer(fed)))
 
 
 def _width(df: DataFrame, vector: str) -> int:
-    row = df.select(F.size(vector).alias("n")).first()
-    if row is None:
-        raise ValueError("no vectors to score")
-    return int(row["n"])
+    """The commonest length; 1 without any vector."""
+    row = (df.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("n")).count()
+           .orderBy(F.desc("count"), F.desc("n")).first())
+    return int(row["n"]) if row else 1
 
 
 # ---- selection ------------------------------------------------------------------------------

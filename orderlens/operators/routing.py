@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import first_match, first_present, percent_text
 from .retrieval import GROUNDED_SCORE
@@ -88,9 +89,19 @@ def screen_turns(df: DataFrame, text: str = "user_input", *, injection=None, ris
     return route(screened.withColumn("intent", F.when(~F.col("blocked"), F.col("intent"))))
 
 
-def context_writes(order: str, image: str) -> tuple[Column, Column]:
-    """What a turn stores for later turns: only its own tool's input, and only when given."""
-    return (F.when(F.col("intent") == "return_risk", F.col(order)),
+def _given(order: str, kind: T.DataType | None) -> Column:
+    """The order input, or null where it is empty: an empty text, or a struct without a value."""
+    value = F.col(order)
+    if isinstance(kind, T.StructType):
+        return F.when(F.coalesce(*[value[f.name].cast("string") for f in kind.fields]).isNotNull(), value)
+    return F.when(value.cast("string") != "", value)
+
+
+def context_writes(order: str, image: str, kind: T.DataType | None = None) -> tuple[Column, Column]:
+    """What a turn stores for later turns: only its own tool's input, and only when given.
+
+    `kind` is the order input's type; a struct counts as given when any field is."""
+    return (F.when(F.col("intent") == "return_risk", _given(order, kind)),
             F.when(F.col("intent") == "image_classification",
                    first_present(F.col(image), F.lit(None).cast("string"))))
 
@@ -114,7 +125,7 @@ def resolve_context(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     `order` may be a key or a struct of features. Adds session_order and session_image (state
     after the turn), resolved_order, resolved_image and missing_context.
     """
-    order_write, image_write = context_writes(order, image)
+    order_write, image_write = context_writes(order, image, df.schema[order].dataType)
     carried = carry_forward(df, conv, turn, {"session_order": order_write,
                                              "session_image": image_write}, hot_rows=hot_rows)
     return with_resolution(carried, order, image)
@@ -220,8 +231,12 @@ def attach_tools(resolved: DataFrame, *, evidence: DataFrame | None = None,
 def debug_block() -> Column:
     """Groundedness for policy turns, stored context otherwise; null fields are left out."""
     policy = F.col("intent") == "policy"
+    # nothing retrieved counts as not grounded at 0.0
+    found = F.struct(F.coalesce("grounded", F.lit(False)).alias("grounded"),
+                     F.coalesce("top_score", F.lit(0.0)).alias("top_score"),
+                     F.coalesce("threshold", F.lit(GROUNDED_SCORE)).alias("threshold"))
     return F.struct(
-        F.when(policy, F.struct("grounded", "top_score", "threshold")).alias("groundedness"),
+        F.when(policy, found).alias("groundedness"),
         F.when(F.col("session_order").isNotNull(), F.col("session_order")).alias("session_order"),
         F.when(F.col("session_image").isNotNull(), F.col("session_image")).alias("session_image"))
 

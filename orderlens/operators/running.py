@@ -57,7 +57,7 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame | N
     """
     share = min(1.0, HOT_SAMPLE / min_rows)
     limit = min_rows if share == 1.0 else min_rows * share / 2
-    seen = df.select(key).filter(F.col(key).isNotNull())
+    seen = df.select(key)  # null is a key like any other: a window puts its rows together too
     if share < 1.0:
         seen = seen.sample(share, seed=17)
     counts = seen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -68,9 +68,9 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame | N
 
 def hot_bucket(df: DataFrame, key: str, bucket: Column, hot: DataFrame) -> DataFrame:
     """Adds `_bucket`: the given bucket for hot keys, null (one bucket) for all others."""
-    marked = F.broadcast(hot.select(F.col(key).alias("_hot")))
-    joined = df.join(marked, F.col(key) == F.col("_hot"), "left")
-    return joined.withColumn("_bucket", F.when(F.col("_hot").isNotNull(), bucket)).drop("_hot")
+    marked = F.broadcast(hot.select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot")))
+    joined = df.join(marked, F.col(key).eqNullSafe(F.col("_hot")), "left")
+    return joined.withColumn("_bucket", F.when(F.col("_is_hot"), bucket)).drop("_hot", "_is_hot")
 
 
 def plain_running(df: DataFrame, keys: list[str], order: list,
@@ -110,7 +110,8 @@ def running(df: DataFrame, keys: list[str], order: list, bucket: str,
         *[F.col(c).alias(f"_k_{c}") for c in (*keys, bucket)],
         *[_merge(v.kind)(F.col(f"_part_{name}")).over(earlier).alias(f"_off_{name}")
           for name, v in values.items()])
-    matched = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in (*keys, bucket)])
+    matched = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys],
+                     F.col(bucket) == F.col(f"_k_{bucket}"))
     joined = with_inside.join(offsets, matched, "left")
     results = []
     for name, v in values.items():

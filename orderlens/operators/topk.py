@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,9 @@ TILE_CELLS = 4 << 20  # scores held at once: 32 MB of doubles
 def _matrix(column) -> np.ndarray:
     """A list column as a two-dimensional array; every row must have the same length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sizes.tolist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -84,12 +88,23 @@ def _small_side(df: DataFrame, key: str, small_rows: int):
     """The rows as one Arrow table if there are at most `small_rows` of them, else None.
 
     The check takes keys partition by partition and stops one past the limit, so a large side is
-    neither computed nor fetched; only a side known to be small is collected.
+    neither computed nor fetched; then the bytes are added up where the rows are. Only a side known
+    to be small is collected.
     """
     if len(df.select(key).take(small_rows + 1)) > small_rows:
         return None
-    held = df.toArrow()
-    return held if held.num_rows <= small_rows and held.nbytes <= SMALL_BYTES else None
+    size = sum((F.coalesce(F.size(f.name) * 8 if isinstance(f.dataType, T.ArrayType)
+                           else F.octet_length(F.col(f.name).cast("string")), F.lit(0)).cast("bigint")
+                for f in df.schema), F.lit(0).cast("bigint"))
+    if (df.agg(F.sum(size)).first()[0] or 0) > SMALL_BYTES:
+        return None
+    return df.toArrow()
+
+
+def _whole(df: DataFrame, vector: str) -> DataFrame:
+    """Rows that can be scored: the vector is there and holds no nulls."""
+    v = F.col(vector)
+    return df.filter(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()))
 
 
 def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, *, query_id: str,
@@ -99,11 +114,14 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, *, query_id:
     """Rows (query_id, item_id, score, rank, *carry): the k best items of every query.
 
     Scores are double inner products rounded to `digits`; ties go to the smaller item id. `carry`
-    lists further corpus columns to return with each hit, so no join back is needed.
+    lists further corpus columns to return with each hit, so no join back is needed. Rows whose
+    vector is null, empty or holds nulls ask for nothing and are never hits; vectors of different
+    lengths are an error.
     """
     carry = list(carry or [])
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_qv"))
     c = corpus.select(F.col(item_id).alias("item_id"), F.col(item_vec).alias("_iv"), *carry)
+    q, c = _whole(q, "_qv"), _whole(c, "_iv")
     out_schema = T.StructType([
         T.StructField("query_id", q.schema["query_id"].dataType),
         T.StructField("item_id", c.schema["item_id"].dataType),

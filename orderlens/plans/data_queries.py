@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from ..session import work_dir
 from ..sources import files as FS
 from ..sources.risk_orders import line_distance, risk_orders
 from ..sources.tables import table
-from ..streaming import (read_stream, run_available, stream_carry_context, stream_rates,
+from ..streaming import (read_stream, run_available, run_updates, stream_carry_context, stream_rates,
                          stream_screen)
 from . import settings as X
 
@@ -364,21 +366,28 @@ def q_confused_pairs(spark, d):
     return C.top_confused_pairs(nearest_cells(spark, d), 5)
 
 
+def _texts(spark, d) -> DataFrame:
+    return C.label_texts(table(spark, d, "embeddings"), "label", CLASS_NAMES, 4)
+
+
 @_query
 def q_pair_text(spark, d):
     return C.explain_pairs(C.top_confused_pairs(nearest_cells(spark, d), 45),
-                           C.explanations(spark), CLASS_NAMES)
+                           _texts(spark, d), CLASS_NAMES)
 
 
 @_query
 def q_evaluation_report(spark, d):
     report = C.evaluation_report(stored(nearest_label(spark, d), "predictions"), "label",
-                                 "predicted", CLASS_NAMES)
+                                 "predicted", CLASS_NAMES, texts=_texts(spark, d))
     return report.select("section", F.col("line_no").cast("bigint").alias("line_no"), "text")
 
 
 def _probs(spark, d) -> DataFrame:
-    logits = F.slice(L.as_doubles(F.col("embedding")), 1, X.CLASSES)
+    # every dimension counts: class i adds up dimensions i, i + 10, i + 20, ...
+    v = L.as_doubles(F.col("embedding"))
+    logits = F.array(*[reduce(add, [F.element_at(v, j + 1) for j in range(i, X.DIMENSIONS, X.CLASSES)])
+                       for i in range(X.CLASSES)])
     return table(spark, d, "embeddings").select(
         "vec_id", "label", L.softmax(F.transform(logits, lambda x: x * 8.0)).alias("probs"))
 
@@ -401,16 +410,18 @@ def q_log_loss(spark, d):
 
 @_query
 def q_affine(spark, d):
-    v = L.affine(F.slice("embedding", 1, 3), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225])
-    out = table(spark, d, "embeddings").select("vec_id", v.alias("v"))
-    return out.select("vec_id", *[F.round(F.element_at("v", i + 1), 9).alias(f"c{i}")
-                                  for i in range(3)])
+    """Channel constants in turn over all dimensions."""
+    turn = lambda c: [c[i % 3] for i in range(X.DIMENSIONS)]
+    v = L.affine(F.col("embedding"), turn(X.CHANNEL_MEAN), turn(X.CHANNEL_STD))
+    out = table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("dim", "x"))
+    return out.select("vec_id", "dim", F.round("x", 9).alias("x"))
 
 
 @_query
 def q_normalize_dot(spark, d):
-    head = F.slice("embedding", 1, 8)
-    tail = F.slice("embedding", 9, 8)
+    half = X.DIMENSIONS // 2
+    head = F.slice("embedding", 1, half)
+    tail = F.slice("embedding", half + 1, half)
     out = table(spark, d, "embeddings").select("vec_id", L.l2_normalize(head).alias("a"),
                                                L.l2_normalize(tail).alias("b"))
     return out.select("vec_id", F.round(L.dot(F.col("a"), F.col("b")), 9).alias("cosine"))
@@ -624,7 +635,8 @@ def q_stream_carry(spark, d):
 
 @_query
 def q_stream_rates(spark, d):
-    rates = stream_rates(read_stream(spark, d, "events", EVENTS))
-    return run_available(rates, "rates").select(
+    """All windows, those still open at the end of the input included."""
+    rates = stream_rates(read_stream(spark, d, "events", EVENTS), delay=None)
+    return run_updates(rates, ["window_start", "event_type"], "rates").select(
         F.to_date("window_start").alias("day"), "event_type", "n", "null_share",
         F.round("mean_value", 6).alias("mean_value"))

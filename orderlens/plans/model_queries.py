@@ -90,7 +90,7 @@ def m_importance_comparison(spark, d):
     prep, model = _forest_pipeline(rows)
     return I.importance_comparison(
         I.impurity_importance(spark, model, prep.feature_names()),
-        _permutation(rows, prep, model, repeats=3))
+        _permutation(rows, prep, model, repeats=15))
 
 
 @_query

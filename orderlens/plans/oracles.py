@@ -4,7 +4,7 @@ per threshold, full cross products for nearest neighbours, plain windows for his
 from __future__ import annotations
 
 from ..operators import routing as RT
-from ..operators.confusion import DEFAULT_EXPLANATIONS, DEFAULT_TEXT
+from ..operators.confusion import NO_TEXT
 from ..schemas import CATEGORICAL_FEATURES, CLASS_NAMES, NUMERIC_FEATURES
 from . import settings as X
 
@@ -294,11 +294,14 @@ def _pairs(n: int) -> str:
             f"ORDER BY n DESC, t DESC, p DESC LIMIT {n}")
 
 
-_TEXTS = "(VALUES " + ", ".join(
-    f"({_q(a)}, {_q(b)}, {_q(t)})" for a, b, t in DEFAULT_EXPLANATIONS) + ") e(a, b, text)"
+_TEXTS = """(
+    WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+    SELECT na.name AS a, nb.name AS b, printf('%d rows are %s, %d are %s.', x.n, na.name, y.n, nb.name) AS text
+    FROM n x JOIN n y ON y.label > x.label AND y.label - x.label <= 4
+    JOIN names na ON na.i = x.label JOIN names nb ON nb.i = y.label) e"""
 _PAIR_TEXT = (
     "SELECT true_label, pred_label, n, coalesce(e.text, printf("
-    + _q(DEFAULT_TEXT) + ", x.name, y.name)) AS explanation FROM ({pairs}) "
+    + _q(NO_TEXT) + ", x.name, y.name)) AS explanation FROM ({pairs}) "
     "JOIN names x ON x.i = true_label JOIN names y ON y.i = pred_label "
     "LEFT JOIN " + _TEXTS + " ON least(e.a, e.b) = least(x.name, y.name) "
     "AND greatest(e.a, e.b) = greatest(x.name, y.name)")
@@ -323,9 +326,11 @@ UNION ALL SELECT 'confused_pairs', row_number() OVER (
   FROM ({_PAIR_TEXT.format(pairs=_pairs(2))}) JOIN names x2 ON x2.i = true_label
   JOIN names y2 ON y2.i = pred_label"""
 
-_PROBS = """
-raw AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE * 8) AS v
-        FROM embeddings),
+_LOGITS = ", ".join("(" + " + ".join(
+    f"embedding[{j + 1}]::DOUBLE" for j in range(i, X.DIMENSIONS, X.CLASSES)) + ") * 8"
+    for i in range(X.CLASSES))
+_PROBS = f"""
+raw AS (SELECT vec_id, label, [{_LOGITS}] AS v FROM embeddings),
 raised AS (SELECT vec_id, label, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM raw),
 probs AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs
           FROM raised)"""
@@ -589,12 +594,12 @@ SELECT o_orderkey, o_totalprice, x AS shuffled_o_totalprice FROM a JOIN b ON a.i
                             "round(probs[1], 9) AS p0 FROM probs",
         "q_log_loss": f"WITH {_PROBS} SELECT round(avg(-ln(probs[label + 1])), 9) AS log_loss "
                       "FROM probs",
-        "q_affine": "SELECT vec_id, " + ", ".join(
-            f"round((embedding[{i + 1}]::DOUBLE - {m}::DOUBLE) / {s}::DOUBLE, 9) AS c{i}"
-            for i, (m, s) in enumerate(((0.485, 0.229), (0.456, 0.224), (0.406, 0.225))))
-            + " FROM embeddings",
-        "q_normalize_dot": "SELECT vec_id, round(list_cosine_similarity(embedding[1:8]::DOUBLE[], "
-                           "embedding[9:16]::DOUBLE[]), 9) AS cosine FROM embeddings",
+        "q_affine": "SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round((embedding[i]::DOUBLE - "
+                    f"{list(X.CHANNEL_MEAN)}[(i - 1) % 3 + 1]::DOUBLE) / "
+                    f"{list(X.CHANNEL_STD)}[(i - 1) % 3 + 1]::DOUBLE, 9) AS x "
+                    f"FROM embeddings, range(1, {X.DIMENSIONS + 1}) r(i)",
+        "q_normalize_dot": "SELECT vec_id, round(list_cosine_similarity(embedding[1:32]::DOUBLE[], "
+                           "embedding[33:64]::DOUBLE[]), 9) AS cosine FROM embeddings",
         "q_sample_per_class": "SELECT min(vec_id) AS vec_id, label, printf('%02d_%s.png', label, "
                               "lower(replace(replace("
                               f"{_list(CLASS_NAMES)}[label + 1], '/', '_'), ' ', '_'))) "
@@ -642,13 +647,11 @@ FROM per_query""",
                         "count(*) AS n_turns, string_agg(turn || '|' || source || '|' || answer, "
                         "chr(10) ORDER BY turn) AS log FROM answers GROUP BY 1, 2",
         "q_stream_rates": """
-WITH closed AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
-days AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n,
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n,
            avg((value IS NULL)::INT::DOUBLE) AS null_share,
            round(sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100 / count(value), 6)
              AS mean_value
-         FROM events GROUP BY 1, 2)
-SELECT days.* FROM days, closed WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= mark""",
+         FROM events GROUP BY 1, 2""",
     }
     out["q_stream_screen"] = out["q_route"]
     out["q_stream_carry"] = out["q_carry_context"]

@@ -7,6 +7,8 @@ SUBGROUP_DECISION = 0.3  # the stand-in scores seldom reach 0.5
 SEED = 42
 WIDTH = 256
 CLASSES = 10
+DIMENSIONS = 64         # of the vectors in the embedding table
+CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)  # fixed values
 
 # Phrases that occur in the conversation table (its texts never contain the default ones).
 INJECTION = ["worthl", "der die", "stion of", "que la ", "estha"]

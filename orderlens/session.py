@@ -44,15 +44,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-SPREAD_BYTES = 16 << 20
-
-
-def spread(df: DataFrame, bytes_per_core: int = SPREAD_BYTES) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of a small input out to all cores; a larger one is returned as it is.
 
-    A table below `bytes_per_core` per core may sit in one file, or one row group, and would keep a
-    single task busy. Above that size its own splits are numerous enough and nothing is moved.
+    A table in one small file, or one row group, would keep a single task busy. A large one has
+    splits enough, and nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * bytes_per_core else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,22 +19,46 @@ PRICE_SCALE = 500_000.0
 MISSING_RATES = (0.22, 0.06)
 
 
-def line_facts(lineitem: DataFrame) -> DataFrame:
+PART_KEYS = 10 ** 15  # more than any part key
+
+
+def line_facts(lineitem: DataFrame, supplier: DataFrame | None = None) -> DataFrame:
     """One row per order: line count, discount hundredths, returned lines, first ship date and the
     part of its highest-priced line (lowest part key on ties).
 
     Everything is a sum, minimum or maximum of plain numbers, so it is combined before the shuffle
-    and an order with very many lines reaches its reducer as a few rows. Sums are over integers,
-    which makes the result independent of partitioning.
+    in a hash table and an order with very many lines reaches its reducer as a few rows: price in
+    cents and part key are packed into one decimal. Sums are over integers, which makes the result
+    independent of partitioning. With `supplier`, lines are first combined per supplier nation and
+    `nations` lists the lines of each (at most one entry per nation), all in one pass over the lines.
     """
-    return lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("discount_hundredths"),
-        F.sum((F.col("l_returnflag") == "R").cast("bigint")).alias("n_returned"),
-        F.min("l_shipdate").alias("first_ship"),
-        F.max(F.struct("l_extendedprice", -F.col("l_partkey"))).alias("top")
-    ).select("l_orderkey", "n_lines", "discount_hundredths", "n_returned", "first_ship",
-             (-F.col("top.col2")).alias("top_partkey"))
+    top = (F.round(F.col("l_extendedprice") * 100).cast("decimal(20,0)") * F.lit(PART_KEYS).cast("decimal(16,0)")
+           + (F.lit(PART_KEYS - 1) - F.col("l_partkey")).cast("decimal(16,0)"))
+    first = [F.count(F.lit(1)).alias("n_lines"),
+             F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("discount_hundredths"),
+             F.sum((F.col("l_returnflag") == "R").cast("bigint")).alias("n_returned"),
+             F.min("l_shipdate").alias("first_ship"), F.max(top).alias("top")]
+    facts = ["l_orderkey", "n_lines", "discount_hundredths", "n_returned", "first_ship",
+             (F.lit(PART_KEYS - 1) - F.pmod(F.col("top"), F.lit(PART_KEYS).cast("decimal(16,0)")).cast("bigint"))
+             .alias("top_partkey")]
+    if supplier is None:
+        return lineitem.groupBy("l_orderkey").agg(*first).select(*facts)
+    per_nation = (lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+                  .groupBy("l_orderkey", "s_nationkey").agg(*first))
+    again = [F.sum(c).alias(c) for c in ("n_lines", "discount_hundredths", "n_returned")]
+    known = F.when(F.col("s_nationkey").isNotNull(),
+                   F.struct(F.col("s_nationkey").alias("nation"), F.col("n_lines").alias("n")))
+    return per_nation.groupBy("l_orderkey").agg(
+        *again, F.min("first_ship").alias("first_ship"), F.max("top").alias("top"),
+        F.collect_list(known).alias("nations")).select(*facts, "nations")
+
+
+def nation_distance(nations: Column, home: Column) -> Column:
+    """Average of 100 * |home - nation| over the lines that `nations` counts, to one decimal."""
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate(nations, zero, lambda a, x: a + F.lit(100) * F.abs(home - x["nation"]).cast("bigint") * x["n"])
+    n = F.aggregate(nations, zero, lambda a, x: a + x["n"])
+    return F.when(n > 0, _one_decimal(total, n))
 
 
 def line_distance(lineitem: DataFrame, supplier: DataFrame, orders: DataFrame,
@@ -119,19 +143,18 @@ def risk_orders(spark: SparkSession, folder: str, *, label: str = "drawn",
     part = table(spark, folder, "part").select("p_partkey", "p_type")
 
     # everything keyed by order meets first, so one partitioning by order serves both joins
+    supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey") if distance else None
     facts = (
         _orders(orders)
-        .join(line_facts(lineitem), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(line_facts(lineitem, supplier), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .withColumn("line_returned", F.coalesce(
             (F.lit(2) * F.col("n_returned") > F.col("n_lines")).cast("bigint"),
             F.lit(0).cast("bigint"))))
     if distance:
-        facts = facts.join(
-            line_distance(lineitem.select("l_orderkey", "l_suppkey"),
-                          table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"),
-                          orders.select("o_orderkey", "o_custkey"),
-                          table(spark, folder, "customer").select("c_custkey", "c_nationkey")),
-            F.col("o_orderkey") == F.col("d_orderkey"), "left")
+        home = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+        facts = facts.join(home, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn(
+            "delivery_distance_km", nation_distance(F.col("nations"), F.col("c_nationkey"))).drop(
+            "nations", "c_custkey", "c_nationkey")
     facts = facts.join(part, F.col("top_partkey") == F.col("p_partkey"), "left")
     out = customer_history(facts, orders, hot_rows)
 

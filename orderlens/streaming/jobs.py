@@ -20,11 +20,12 @@ BATCH_BYTES = 4 << 30
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType,
                 max_files: int | None = None, max_bytes: int = BATCH_BYTES) -> DataFrame:
-    """A table's parquet files as a stream; each micro-batch takes `max_files` files when given,
-    else about `max_bytes`."""
+    """A table, one parquet file or a folder of part files, as a stream; each micro-batch takes
+    `max_files` files when given, else about `max_bytes`."""
     limit = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", max_bytes)
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option(*limit).parquet(folder))
+    # matches the file itself and the files in a folder of that name, and no other table's
+    return (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+            .option(*limit).parquet(f"{folder}/{name}.parquet"))
 
 
 def run_available(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -41,6 +42,28 @@ def run_available(stream: DataFrame, name: str, path: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def run_updates(stream: DataFrame, keys: list[str], name: str, path: str | None = None) -> DataFrame:
+    """Runs an updating aggregation over everything that has arrived; the last state of every key.
+
+    Each micro-batch writes what it changed to a folder of its own, so a replayed batch replaces
+    what it wrote before, and windows that are still open at the end are part of the result.
+    """
+    spark = stream.sparkSession
+    path = path or work_dir(spark, name)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    values = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, *[F.col("v")[c].alias(c) for c in values])
+
+
 def stream_screen(turns: DataFrame, text: str = "user_input", **phrases) -> DataFrame:
     """Injection flag, intent and route per arriving turn; no state."""
     return screen_turns(turns, text, **phrases)
@@ -94,7 +117,7 @@ def stream_carry_context(screened: DataFrame, order: str = "order_ref",
     """
     spark = screened.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    order_write, image_write = context_writes(order, image)
+    order_write, image_write = context_writes(order, image, screened.schema[order].dataType)
     written = screened.select("conv_id", "turn", "intent",
                               order_write.cast("string").alias("order_write"),
                               image_write.alias("image_write"))
@@ -109,15 +132,18 @@ def stream_score(orders: DataFrame, model, t_star: float) -> DataFrame:
     return score_return_risk(orders, model, t_star)
 
 
-def stream_rates(events: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+def stream_rates(events: DataFrame, window: str = "1 day",
+                 delay: str | None = "1 day") -> DataFrame:
     """Rows, null share and mean value per tumbling window and event type.
 
-    Windows are emitted once the watermark has passed their end. Means are formed from integer
-    hundredths, so the order of arrival does not change them.
+    With a `delay`, windows are emitted once the watermark has passed their end, and events behind
+    it are discarded. Without one (for `run_updates`) every event counts whatever the micro-batches
+    are, and the state holds one row per window and type. Means are formed from integer hundredths,
+    so the order of arrival does not change them.
     """
     stamped = events.withColumn("at", F.col("ts").cast("timestamp"))
     hundredths = F.round(F.col("value") * 100).cast("bigint")
-    grouped = (stamped.withWatermark("at", delay)
+    grouped = ((stamped.withWatermark("at", delay) if delay else stamped)
                .groupBy(F.window("at", window), "event_type")
                .agg(F.count(F.lit(1)).alias("n"),
                     F.avg(F.col("value").isNull().cast("double")).alias("null_share"),

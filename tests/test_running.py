@@ -80,3 +80,13 @@ def test_customer_history_is_the_same_for_hot_customers(spark, sf):
     plain = risk_orders(spark, sf, score=True).collect()
     split = risk_orders(spark, sf, score=True, hot_rows=5).collect()
     assert sorted(plain, key=str) == sorted(split, key=str)
+
+
+def test_a_hot_null_key_is_cut_like_any_other(spark):
+    df = skewed(spark).withColumn("k", F.when(F.col("k") != 0, F.col("k")))
+    hot = hot_keys(df, "k", 100)
+    assert [r["k"] for r in hot.collect()] == [None]
+    got = running(hot_bucket(df, "k", F.floor(F.col("i") / 50), hot), ["k"], [F.col("i")], "_bucket", values())
+    want = plain_running(df, ["k"], [F.col("i")], values())
+    key = lambda r: r["i"]
+    assert sorted((r.asDict() for r in got.collect()), key=key) == sorted((r.asDict() for r in want.collect()), key=key)

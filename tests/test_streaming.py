@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from orderlens.operators import routing as RT
 from orderlens.plans.data_queries import PHRASES, turns_of
 from orderlens.schemas import CONVERSATIONS, EVENTS
-from orderlens.streaming import (read_stream, run_available, stream_carry_context, stream_rates,
+from orderlens.streaming import (read_stream, run_available, run_updates, stream_carry_context, stream_rates,
                                  stream_screen)
 
 
@@ -19,7 +19,8 @@ def write_parts(df, folder, name, order, parts):
         df.sparkSession.createDataFrame(piece, df.schema).coalesce(1).write.mode(
             "overwrite").parquet(str(folder / "raw"))
         part = next((folder / "raw").glob("part-*.parquet"))
-        (folder / f"{name}{i}.parquet").write_bytes(part.read_bytes())
+        (folder / f"{name}.parquet").mkdir(exist_ok=True)
+        (folder / f"{name}.parquet" / f"part{i}.parquet").write_bytes(part.read_bytes())
         time.sleep(0.02)
 
 
@@ -61,7 +62,8 @@ def test_late_turn_reads_state_and_writes_nothing(spark, tmp_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
         part = next((tmp_path / f"b{i}").glob("part-*.parquet"))
-        (tmp_path / f"turns{i}.parquet").write_bytes(part.read_bytes())
+        (tmp_path / "turns.parquet").mkdir(exist_ok=True)
+        (tmp_path / "turns.parquet" / f"part{i}.parquet").write_bytes(part.read_bytes())
         time.sleep(1.1)
     stream = read_stream(spark, str(tmp_path), "turns",
                          spark.createDataFrame([], schema).schema, 1)
@@ -77,3 +79,16 @@ def test_rates_emit_closed_windows_only(spark, sf):
     starts = [r["window_start"] for r in got.collect()]
     assert starts and all((last - s).total_seconds() >= 86_400 for s in starts)
     assert got.agg(F.max("null_share")).first()[0] == 0.0
+
+
+def test_rates_of_all_windows_do_not_depend_on_micro_batches(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    write_parts(events, tmp_path, "events", F.xxhash64("event_id"), 4)
+    write_parts(events.limit(7), tmp_path, "events2", "event_id", 1)  # another table, not to be read
+    keys = ["window_start", "event_type"]
+    results = []
+    for folder, files in ((sf, None), (str(tmp_path), None), (str(tmp_path), 1)):
+        rates = stream_rates(read_stream(spark, folder, "events", EVENTS, files), delay=None)
+        results.append(sorted(run_updates(rates, keys, "rates").collect()))
+    assert results[0] == results[1] == results[2]
+    assert sum(r["n"] for r in results[0]) == events.count()

@@ -84,3 +84,15 @@ def test_float_vectors_are_scored_as_doubles(spark, sf):
     check = top.join(a, "query_id").join(b, "item_id").select(
         F.max(F.abs(F.col("score") - dot(F.col("x"), F.col("y")))))
     assert check.first()[0] < 1e-6
+
+
+def test_null_vectors_give_no_hits_and_ragged_ones_an_error(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [1.0, None]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    run = dict(query_id="id", query_vec="v", item_id="id", item_vec="v")
+    for small in (100, 1):
+        hits = exact_top_k(df, df, 5, small_rows=small, **run).collect()
+        assert {(r["query_id"], r["item_id"]) for r in hits} == {(0, 0), (0, 4), (4, 0), (4, 4)}
+    ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "id bigint, v array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        exact_top_k(ragged, ragged, 1, **run).collect()
