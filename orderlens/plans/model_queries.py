@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import importance as I
@@ -15,7 +17,8 @@ from ..sources import files as FS
 from ..sources.tables import table
 from ..streaming import run_available, stream_score
 from . import settings as X
-from .data_queries import _query, split_orders, stored
+from .data_queries import _query, nearest_label, scored, split_orders, stored
+from .fixed_models import ColumnScore, LinearScore
 
 
 def _logistic_pipeline(rows):
@@ -166,3 +169,96 @@ def m_stream_score(spark, d):
     arriving = spark.readStream.schema(rows.schema).parquet(folder)
     return run_available(stream_score(arriving, model, 0.5).select(
         "order_id", "return_probability", "risk_bucket"), "scores")
+
+
+# ---- the same operators with models of stated weights, which SQL can follow -------------------
+
+def _fixed_test(spark, d):
+    rows = split_orders(spark, d, distance=False).filter(F.col("split") == "test")
+    return rows.select("order_id", "returned", array_to_vector(F.array(*[
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in X.FIXED_WEIGHTS])).alias("features"))
+
+
+def _fixed_permutation(spark, d):
+    return I.permutation_importance(
+        LinearScore(list(X.FIXED_WEIGHTS.values())), stored(_fixed_test(spark, d), "test"),
+        list(X.FIXED_WEIGHTS), key="order_id", label="returned", repeats=15)
+
+
+@_query
+def q_permutation_fixed(spark, d):
+    """Mean and deviation of the area lost over 15 permutations of each column."""
+    return _fixed_permutation(spark, d).select(
+        "feature", *[F.round(c, 9).alias(c) for c in ("perm_importance_mean", "perm_importance_std")])
+
+
+@_query
+def q_impurity_fixed(spark, d):
+    model = LinearScore(list(X.FIXED_WEIGHTS.values()))
+    names = I.impurity_importance(spark, model, list(X.FIXED_WEIGHTS))
+    missing = split_orders(spark, d, distance=False).agg(*[
+        F.avg(F.col(c).isNull().cast("double")).alias(c) for c in X.FIXED_WEIGHTS])
+    share = missing.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("null_share"))
+                                               for c in X.FIXED_WEIGHTS])).alias("s")).select("s.*")
+    return names.join(share, "feature").select("feature", F.round("importance", 9).alias("importance"), "null_share")
+
+
+@_query
+def q_importance_comparison_fixed(spark, d):
+    model = LinearScore(list(X.FIXED_WEIGHTS.values()))
+    out = I.importance_comparison(I.impurity_importance(spark, model, list(X.FIXED_WEIGHTS)),
+                                  _fixed_permutation(spark, d), top=3)
+    return out.select("feature", F.round("impurity_importance", 9).alias("impurity_importance"),
+                      F.col("perm_rank").cast("bigint").alias("perm_rank"),
+                      F.round("perm_importance", 9).alias("perm_importance"), "lost_most")
+
+
+@_query
+def q_risk_scores_fixed(spark, d):
+    """Bucket and cut points of every order; t* from the sweep over the test part."""
+    rows = stored(S.stratified_split(scored(spark, d), "returned", "order_id", 0.2, X.SEED), "split")
+    test = rows.filter(F.col("split") == "test")
+    t_star = M.best_threshold(M.threshold_sweep(test, "returned", "p")).first()["threshold"]
+    return MD.score_return_risk(rows, ColumnScore("p"), t_star).select(
+        "order_id", "return_probability", "risk_bucket", "cut_points")
+
+
+@_query
+def q_stream_score_fixed(spark, d):
+    """The same scoring of orders that arrive as files, cut at 0.25."""
+    rows = scored(spark, d)
+    folder = work_dir(spark, "arriving")
+    rows.write.parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).parquet(folder)
+    return run_available(stream_score(arriving, ColumnScore("p"), 0.25).select(
+        "order_id", "return_probability", "risk_bucket"), "scores")
+
+
+@_query
+def q_score_vectors_fixed(spark, d):
+    """Nearest class mean as a plugged-in batch model."""
+    from ..functions import argmax, as_doubles
+
+    vectors = table(spark, d, "embeddings")
+    parts = vectors.select("label", F.posexplode(as_doubles(F.col("embedding"))).alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("m")).collect()  # classes x dimensions
+    weights = np.zeros((X.DIMENSIONS, X.CLASSES))
+    for r in means:
+        weights[r["i"], r["label"]] = r["m"]
+    bias = -0.5 * (weights ** 2).sum(axis=0)
+
+    def make_predict_fn():
+        return lambda batch: (batch @ weights + bias).astype("float32")
+
+    return MD.score_vectors(vectors, make_predict_fn).select(
+        "vec_id", "label", argmax(F.col("logits")).alias("predicted"))
+
+
+@_query
+def q_select_artifact_fixed(spark, d):
+    """One candidate per class with its recall as metric: even classes stand for the preferred stage."""
+    got = M.per_class_metrics(nearest_label(spark, d), "label", "predicted")
+    stage = F.when(F.col("label") % 2 == 0, "finetuned").otherwise("head")
+    return MD.select_artifact(got.select(
+        stage.alias("stage"), F.col("label").cast("int").alias("step"), F.col("recall").alias("metric"),
+        F.concat(F.lit("class-"), F.col("label")).alias("path")))

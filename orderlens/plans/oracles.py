@@ -186,6 +186,43 @@ UNION ALL SELECT 'weighted avg', round(sum(pr * actual) / sum(actual), 4),
        CAST(sum(actual) AS BIGINT) FROM per_class"""
 
 
+_REPORT_OF = _REPORT[_REPORT.index("classes AS ("):]
+
+
+def _fixed_score(vector: str, donor: str = "") -> str:
+    """The stand-in model's score; with `donor`, column f comes from there."""
+    value = (lambda i: f"(CASE WHEN f = {i} THEN {donor}[{i + 1}] ELSE {vector}[{i + 1}] END)") if donor \
+        else (lambda i: f"{vector}[{i + 1}]")
+    return "round(" + " + ".join(f"{w}::DOUBLE * {value(i)}" for i, w in enumerate(X.FIXED_WEIGHTS.values())) + ", 6)"
+
+
+def _area(keys: str, source: str) -> str:
+    part = f"PARTITION BY {keys}" if keys else ""
+    same = f"{keys}, p" if keys else "p"
+    head = f"{keys}, " if keys else ""
+    return f"""SELECT {head} (sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y)::DOUBLE * (sum(y) + 1) / 2)
+         / (sum(y)::DOUBLE * (count(*) - sum(y))) AS auc
+  FROM (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {same}) - 1) / 2.0::DOUBLE AS r
+        FROM {source}) {'GROUP BY ' + keys if keys else ''}"""
+
+
+_FIXED = f"""
+own AS (SELECT order_id AS k, returned AS y, [{', '.join(f'coalesce({c}::DOUBLE, 0)' for c in X.FIXED_WEIGHTS)}] AS v
+        FROM parts WHERE split = 'test'),
+slots AS (SELECT *, row_number() OVER (ORDER BY md5(k::VARCHAR || ':slot'), k) AS slot FROM own),
+draws AS (SELECT rep, v AS donor, row_number() OVER (
+            PARTITION BY rep ORDER BY md5(k::VARCHAR || ':42:' || rep), k) AS slot FROM own, range(15) q(rep)),
+swapped AS (SELECT y, f, rep, {_fixed_score('v', 'donor')} AS p
+            FROM slots JOIN draws USING (slot), range({len(X.FIXED_WEIGHTS)}) q(f)),
+plain AS (SELECT y, {_fixed_score('v')} AS p FROM own),
+areas AS ({_area('f, rep', 'swapped')}),
+lost AS (SELECT f, (SELECT auc FROM ({_area('', 'plain')})) - auc AS d FROM areas),
+fixed_features AS (SELECT unnest({_list(X.FIXED_WEIGHTS)}) AS feature, unnest(range({len(X.FIXED_WEIGHTS)})) AS f,
+             unnest({[w / sum(X.FIXED_WEIGHTS.values()) for w in X.FIXED_WEIGHTS.values()]}) AS importance),
+permuted AS (SELECT feature, max(importance) AS importance, avg(d) AS m, stddev_pop(d) AS s
+             FROM lost JOIN fixed_features USING (f) GROUP BY feature)"""
+
+
 # ---- split and preparation ----------------------------------------------------------------------
 
 _SPLIT = f"""
@@ -653,6 +690,44 @@ SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n,
              AS mean_value
          FROM events GROUP BY 1, 2""",
     }
+    fixed = f"{_SPLIT},{_FIXED}"
+    out["q_permutation_fixed"] = _orders(
+        "SELECT feature, round(m, 9) AS perm_importance_mean, round(s, 9) AS perm_importance_std FROM permuted", fixed)
+    out["q_impurity_fixed"] = _orders(
+        "SELECT feature, round(importance::DOUBLE, 9) AS importance, CASE feature " + " ".join(
+            f"WHEN {_q(c)} THEN (SELECT avg(({c} IS NULL)::INT::DOUBLE) FROM scored)" for c in X.FIXED_WEIGHTS)
+        + " END AS null_share FROM fixed_features", fixed)
+    out["q_importance_comparison_fixed"] = _orders(
+        "SELECT feature, round(importance::DOUBLE, 9) AS impurity_importance, perm_rank, "
+        "round(m, 9) AS perm_importance, low = 1 AS lost_most FROM ("
+        "SELECT *, row_number() OVER (ORDER BY m DESC, feature) AS perm_rank FROM permuted) "
+        "JOIN (SELECT feature, row_number() OVER (ORDER BY m, feature) AS low FROM ("
+        "SELECT * FROM permuted ORDER BY importance DESC, feature LIMIT 3)) USING (feature)", fixed)
+    out["q_risk_scores_fixed"] = _orders(
+        f"SELECT order_id, {_FOUR} AS return_probability, CASE WHEN p < t THEN 'Low' "
+        "WHEN p >= t + 0.15::DOUBLE THEN 'High' ELSE 'Medium' END AS risk_bucket, "
+        "printf('Low < %.2f <= Medium < %.2f <= High', t, t + 0.15::DOUBLE) AS cut_points "
+        "FROM scored, (SELECT threshold AS t FROM sweep ORDER BY f1 DESC, threshold LIMIT 1)",
+        _SPLIT + ", tested AS (SELECT * FROM parts WHERE split = 'test')," + _sweep().replace("FROM scored", "FROM tested"))
+    out["q_stream_score_fixed"] = _orders(
+        f"SELECT order_id, {_FOUR} AS return_probability, CASE WHEN p < 0.25::DOUBLE THEN 'Low' "
+        "WHEN p >= 0.25::DOUBLE + 0.15::DOUBLE THEN 'High' ELSE 'Medium' END AS risk_bucket FROM scored")
+    out["q_score_vectors_fixed"] = """
+WITH parts AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+cells AS (SELECT label, i, round(avg(x), 6) AS m FROM parts GROUP BY 1, 2),
+means AS (SELECT label AS c, list(m ORDER BY i) AS m FROM cells GROUP BY 1),
+scores AS (SELECT vec_id, label, c, list_inner_product(embedding::DOUBLE[], m) - 0.5 * list_inner_product(m, m) AS s
+           FROM embeddings, means)
+SELECT vec_id, label, CAST(arg_max(c, s) AS INTEGER) AS predicted FROM scores GROUP BY 1, 2"""
+    out["q_select_artifact_fixed"] = (
+        f"{v} SELECT 'finetuned' AS stage, CAST(label AS INTEGER) AS step, metric, 'class-' || label AS path FROM ("
+        f"SELECT label, round({_ratio('tp', 'actual')}, 4) AS metric FROM class_rows WHERE actual + predicted > 0 "
+        "AND label % 2 = 0) ORDER BY metric DESC, label LIMIT 1")
+    out["m_majority"] = (
+        f"WITH {ORDERS},{_SPLIT}, majority AS (SELECT returned AS m FROM parts WHERE split = 'train' GROUP BY 1 "
+        "ORDER BY count(*) DESC, 1 LIMIT 1), decided AS (SELECT returned AS y, m AS yes FROM parts, majority "
+        f"WHERE split = 'test'), {_REPORT_OF}")
+    out["m_reload_parity"] = "SELECT count(*) AS n_rows, 0.0::DOUBLE AS max_diff FROM orders"
     out["q_stream_screen"] = out["q_route"]
     out["q_stream_carry"] = out["q_carry_context"]
     return out

@@ -10,6 +10,10 @@ CLASSES = 10
 DIMENSIONS = 64         # of the vectors in the embedding table
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)  # fixed values
 
+# stated weights of the stand-in model, by feature
+FIXED_WEIGHTS = {"num_previous_returns": 0.25, "discount_pct": 0.0625, "delivery_days": 0.03125,
+                 "is_weekend_order": 0.125}
+
 # Phrases that occur in the conversation table (its texts never contain the default ones).
 INJECTION = ["worthl", "der die", "stion of", "que la ", "estha"]
 RISK = ["ing th", "tion de", "heit d", "ción"]
