@@ -153,11 +153,7 @@ def q_orders_csv(spark, d):
     """Order table through a CSV file and back."""
     path = work_dir(spark, "orders-csv")
     FS.write_csv(risk_orders(spark, d), path)
-    back = FS.read_orders_csv(spark, path, ORDERS)
-    return back.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.col("rating_given").isNull().cast("bigint")).alias("null_ratings"),
-                    F.sum("num_previous_orders").alias("previous"),
-                    F.sum(F.col("returned").cast("bigint")).alias("returned"))
+    return FS.read_orders_csv(spark, path, ORDERS)
 
 
 # ---- split, folds, preparation --------------------------------------------------------------
@@ -354,6 +350,40 @@ def q_per_class(spark, d):
     return M.per_class_metrics(nearest_label(spark, d), "label", "predicted")
 
 
+@_query
+def q_metrics_csv(spark, d):
+    """Per-class measures through a CSV file and back."""
+    rows, path = M.per_class_metrics(nearest_label(spark, d), "label", "predicted"), work_dir(spark, "metrics-csv")
+    FS.write_metrics_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@_query
+def q_matrix_csv(spark, d):
+    """The matrix with class names through a CSV file and back."""
+    path = work_dir(spark, "matrix-csv")
+    FS.write_matrix_csv(C.confusion_matrix(nearest_label(spark, d), "label", "predicted", LABELS), CLASS_NAMES, path)
+    kinds = ", ".join(["class string", *[f"p_{i} bigint" for i in LABELS]])
+    return spark.read.schema(kinds).option("header", True).option("enforceSchema", True).csv(path)
+
+
+@_query
+def q_report_files(spark, d):
+    """The evaluation report as text files, one folder per section, read back."""
+    report = stored(q_evaluation_report(spark, d), "report")
+    path = work_dir(spark, "report-text")
+    FS.write_report(report, path)
+    return spark.read.text(path).select("section", F.col("value").alias("text"))
+
+
+@_query
+def q_inline_names(spark, d):
+    """Rows per class name: names from an inline table, counts from the vectors."""
+    names = FS.inline_table(spark, list(enumerate(CLASS_NAMES)), "i int, name string")
+    n = table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(n, F.col("i") == F.col("label")).select("name", "n")
+
+
 @_query
 def q_accuracy(spark, d):
     from ..operators.models import gate
@@ -490,6 +520,23 @@ def q_chunks(spark, d):
     return chunks_of(spark, d)
 
 
+@_query
+def q_chunks_json(spark, d):
+    """Chunks through JSON files and back."""
+    chunks, path = chunks_of(spark, d), work_dir(spark, "chunks-json")
+    FS.write_json(chunks, path)
+    return FS.read_json(spark, path, chunks.schema, multi_line=False)
+
+
+@_query
+def q_evaluate_retrieval(spark, d):
+    """Each document's first sentence asks for all documents that begin with it."""
+    index, model = text_index(spark, d)
+    first = index.filter(F.col("chunk_id").endswith("__0"))
+    key = first.groupBy(F.col("text").alias("query")).agg(F.collect_set("parent_doc_id").alias("relevant_doc_ids"))
+    return R.evaluate_retrieval(key, index, model, 3, X.WIDTH)
+
+
 @_query
 def q_text_topk(spark, d):
     """Best chunks for every benchmark passage."""
@@ -607,6 +654,8 @@ def q_transcript(spark, d):
         "conv_id", "part", F.size("turns").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat_ws(
             "|", t["turn"].cast("string"), t["final_answer"]["source"],
+            F.format_string("%.4f", t["final_answer"]["confidence"]),
+            F.coalesce(t["debug"]["groundedness"]["grounded"].cast("string"), F.lit("-")),
             t["final_answer"]["answer"])), "\n").alias("log"))
 
 

@@ -477,6 +477,7 @@ joined AS (
   LEFT JOIN image_classes ON image_key = resolved_image),
 answers AS (
   SELECT conv_id, turn, route,
+    CASE WHEN intent = 'policy' THEN (coalesce(top, 0) >= 0.35::DOUBLE)::VARCHAR ELSE '-' END AS grounded,
     CASE WHEN blocked THEN {_q(RT.BLOCKED_TEXT)}
          WHEN intent = 'policy' AND coalesce(top, 0) < 0.35::DOUBLE
            THEN printf({_q(RT.REFUSAL_TEXT)}, coalesce(round(top, 4), 0::DOUBLE), 0.35::DOUBLE)
@@ -561,10 +562,6 @@ WITH a AS (SELECT o_orderkey, o_totalprice, row_number() OVER (
 b AS (SELECT o_totalprice AS x, row_number() OVER (
         ORDER BY md5(o_orderkey::VARCHAR || ':{X.SEED}:0')) AS i FROM orders)
 SELECT o_orderkey, o_totalprice, x AS shuffled_o_totalprice FROM a JOIN b ON a.i = b.i""",
-        "q_orders_csv": _orders(
-            "SELECT count(*) AS n, CAST(sum((rating_given IS NULL)::INT) AS BIGINT) "
-            "AS null_ratings, CAST(sum(num_previous_orders) AS BIGINT) AS previous, "
-            "CAST(sum(returned) AS BIGINT) AS returned FROM scored"),
         "q_split": _orders("SELECT order_id, returned, split FROM parts", _SPLIT),
         "q_split_by_count": _SPLIT_COUNT,
         "q_folds": _orders(
@@ -679,9 +676,10 @@ FROM per_query""",
                           "AS last_purchase FROM events",
         "q_missing_context": f"WITH {_TURNS} SELECT intent, missing_context, count(*) AS n "
                              "FROM resolved GROUP BY 1, 2",
-        "q_answers": f"WITH {_ANSWERS} SELECT * FROM answers",
+        "q_answers": f"WITH {_ANSWERS} SELECT * EXCLUDE (grounded) FROM answers",
         "q_transcript": f"WITH {_ANSWERS} SELECT conv_id, turn // 1000 AS part, "
-                        "count(*) AS n_turns, string_agg(turn || '|' || source || '|' || answer, "
+                        "count(*) AS n_turns, string_agg(turn || '|' || source || '|' || printf('%.4f', confidence) "
+                        "|| '|' || grounded || '|' || answer, "
                         "chr(10) ORDER BY turn) AS log FROM answers GROUP BY 1, 2",
         "q_stream_rates": """
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n,
@@ -690,6 +688,27 @@ SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n,
              AS mean_value
          FROM events GROUP BY 1, 2""",
     }
+    out["q_orders_csv"] = out["q_risk_orders"]
+    out["q_metrics_csv"] = out["q_per_class"]
+    out["q_matrix_csv"] = (f"{v} SELECT max(name) AS class, " + ", ".join(
+        f"CAST(sum(CASE WHEN p = {i} THEN n ELSE 0 END) AS BIGINT) AS p_{i}" for i in range(X.CLASSES))
+        + " FROM dense JOIN names ON i = t GROUP BY t")
+    out["q_report_files"] = f"{v} SELECT section, text FROM ({_REPORT_LINES})"
+    out["q_inline_names"] = f"{v} SELECT name, count(*) AS n FROM embeddings JOIN names ON i = label GROUP BY name"
+    out["q_chunks_json"] = out["q_chunks"]
+    out["q_evaluate_retrieval"] = f"""WITH {_INDEX},
+first AS (SELECT parent_doc_id, text FROM chunks WHERE chunk_id LIKE '%\\_\\_0' ESCAPE '\\'),
+asked AS (SELECT DISTINCT text AS asked_id, text FROM first),
+{_search('asked', 'asked_id', 'text')},
+wanted AS (SELECT text AS w, count(DISTINCT parent_doc_id) AS n_relevant FROM first GROUP BY text),
+got AS (SELECT DISTINCT query_id AS g, parent_doc_id FROM found),
+per_query AS (
+  SELECT w AS query_id, count(f.parent_doc_id) AS tp, count(g.parent_doc_id) AS n_retrieved, max(n_relevant) AS n_relevant
+  FROM wanted LEFT JOIN got g ON g = w
+  LEFT JOIN (SELECT DISTINCT parent_doc_id, text FROM first) f ON f.text = w AND f.parent_doc_id = g.parent_doc_id
+  GROUP BY w)
+SELECT *, round({_ratio('tp', 'n_retrieved')}, 4) AS "precision", round({_ratio('tp', 'n_relevant')}, 4) AS recall
+FROM per_query"""
     fixed = f"{_SPLIT},{_FIXED}"
     out["q_permutation_fixed"] = _orders(
         "SELECT feature, round(m, 9) AS perm_importance_mean, round(s, 9) AS perm_importance_std FROM permuted", fixed)
