@@ -202,16 +202,18 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
             digits: int | None = None) -> DataFrame:
     """Exact area under the ROC curve (ties count half); null where a class is absent.
 
-    Equal scores are merged first. Pairs inside a score bucket are counted by a window over that
-    bucket, pairs across buckets from the bucket totals, so neither a heavily repeated score nor a
-    large table is ever sorted by one task, and the scores are read once.
+    Equal scores are merged first. Pairs inside a fine score bucket (2^-24 wide) are counted by a
+    window over that bucket, pairs across the 4,096 fine buckets of a coarse one from their totals,
+    and pairs across coarse buckets from theirs. So neither a heavily repeated score, nor scores that
+    lie close together, nor a large table is ever sorted by one task, and the scores are read once.
     """
     by = list(by or [])
     value = F.col(score) if digits is None else F.round(F.col(score), digits)
     ties = (_both(df, y, score).groupBy(*by, value.alias("_s")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"),
         F.sum((F.lit(1) - F.col(y)).cast("bigint")).alias("neg"))
-        .withColumn("_bucket", F.floor(F.col("_s") * F.lit(4096))))
+        .withColumn("_fine", F.floor(F.col("_s") * F.lit(1 << 24)))
+        .withColumn("_bucket", F.floor(F.col("_s") * F.lit(1 << 12))))
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
 
     def ahead(keys, order):
@@ -219,10 +221,14 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None,
              .rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.sum(neg).over(w), F.lit(0.0))
 
-    inside = (ties.withColumn("_ahead", ahead([*by, "_bucket"], "_s"))
-              .groupBy(*by, "_bucket").agg(F.sum(pos * (2 * F.col("_ahead") + neg)).alias("_d"),
+    fine = (ties.withColumn("_ahead", ahead([*by, "_bucket", "_fine"], "_s"))
+            .groupBy(*by, "_bucket", "_fine").agg(
+                F.sum(pos * (2 * F.col("_ahead") + neg)).alias("_d"),
+                F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    coarse = (fine.withColumn("_ahead", ahead([*by, "_bucket"], "_fine"))
+              .groupBy(*by, "_bucket").agg(F.sum(F.col("_d") + 2 * pos * F.col("_ahead")).alias("_d"),
                                            F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    across = inside.withColumn("_ahead", ahead(by, "_bucket"))  # one row per score bucket
+    across = coarse.withColumn("_ahead", ahead(by, "_bucket"))  # one row per coarse bucket
     out = across.groupBy(*by).agg(F.sum(F.col("_d") + 2 * pos * F.col("_ahead")).alias("_d"),
                                   F.sum(pos).alias("_p"), F.sum(neg).alias("_n"))
     return out.select(*by, F.try_divide(

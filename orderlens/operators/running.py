@@ -128,6 +128,14 @@ def ranked(df: DataFrame, keys: list[str], order: list, bucket: Column, name: st
                    {name: Running("count", F.lit(1), inclusive=True, default=0)})
 
 
+def day_bucket(day: Column, key: Column, span: int = 100_000) -> Column:
+    """A bucket that never decreases along (day, key): a day, cut every `span` keys.
+
+    A day with very many rows is several buckets, so their number grows with the table.
+    """
+    return F.struct(day.alias("day"), F.floor(key / F.lit(span)).alias("part"))
+
+
 def hash_prefix(hashed: Column, digits: int = 4) -> Column:
     """Leading hex digits of a hash: a bucket that grows with the hash and is filled evenly."""
     return F.substring(hashed, 1, digits)

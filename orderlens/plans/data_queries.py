@@ -137,8 +137,8 @@ def q_customer_history(spark, d):
 def q_row_key(spark, d):
     """Sequential key 1..N in (date, order) sequence."""
     orders = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return RN.ranked(orders, [], [F.col("day"), F.col("o_orderkey")], F.col("day"),
-                     "row_key").select("o_orderkey", "row_key")
+    return RN.ranked(orders, [], [F.col("day"), F.col("o_orderkey")],
+                     RN.day_bucket(F.col("day"), F.col("o_orderkey")), "row_key").select("o_orderkey", "row_key")
 
 
 @_query

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import (bernoulli, clip, either, mask_null, return_logit, sigmoid)
-from ..operators.running import HOT_ROWS, Running, hot_bucket, hot_keys, plain_running, running
+from ..operators.routing import left_lookup
+from ..operators.running import (HOT_ROWS, Running, day_bucket, hot_bucket, hot_keys, plain_running,
+                                 running)
 from ..session import work_dir
 from .files import cache_features
 from .tables import table
@@ -97,7 +99,7 @@ def customer_history(facts: DataFrame, orders: DataFrame,
     """Adds prior orders, prior returns and tenure per customer, in (date, key) order.
 
     `facts` carries o_orderkey, o_custkey, order_date and line_returned. Customers with very many
-    orders are cut by day; the count that finds them reads one column of the raw order table.
+    orders are cut by day and key; the count that finds them reads one column of the raw order table.
     """
     wanted = {
         "num_previous_orders": Running("count", F.lit(1), default=0),
@@ -111,7 +113,7 @@ def customer_history(facts: DataFrame, orders: DataFrame,
     else:
         # read twice below, so the joins behind it are run once into a written table
         facts = cache_features(facts, work_dir(facts.sparkSession, "order-facts"))
-        bucketed = hot_bucket(facts, "o_custkey", F.col("order_date"), hot)
+        bucketed = hot_bucket(facts, "o_custkey", day_bucket(*order), hot)
         out = running(bucketed, ["o_custkey"], order, "_bucket", wanted)
     return (out.withColumn("customer_tenure_days",
                            F.datediff("order_date", "first_order").cast("bigint"))
@@ -155,7 +157,7 @@ def risk_orders(spark: SparkSession, folder: str, *, label: str = "drawn",
         facts = facts.join(home, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn(
             "delivery_distance_km", nation_distance(F.col("nations"), F.col("c_nationkey"))).drop(
             "nations", "c_custkey", "c_nationkey")
-    facts = facts.join(part, F.col("top_partkey") == F.col("p_partkey"), "left")
+    facts = left_lookup(facts, part, "top_partkey", "p_partkey", ["o_orderkey"])
     out = customer_history(facts, orders, hot_rows)
 
     gap_days = F.abs(F.datediff(F.to_date("first_ship"), "order_date")).cast("bigint")

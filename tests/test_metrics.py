@@ -192,3 +192,12 @@ def test_rows_without_score_label_or_prediction_do_not_count(spark):
     report = {r["row"]: r for r in M.classification_report(df, "y", "yhat").collect()}
     assert set(report) == {"0", "1", "accuracy", "macro avg", "weighted avg"}
     assert report["accuracy"]["precision"] == round(2 / 3, 4)
+
+
+def test_area_of_scores_that_lie_close_together(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(2), 0.2 + rnd.randrange(300) * 1e-6) for _ in range(3000)]
+    got = M.roc_auc(spark.createDataFrame(rows, "y int, s double"), "y", "s").first()["auc"]
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    pairs = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+    assert got == pytest.approx(pairs / len(pos) / len(neg), abs=1e-12)
