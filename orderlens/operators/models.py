@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from multiprocessing.pool import ThreadPool
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,22 +64,35 @@ def grid_search(train: DataFrame, *, label: str = TARGET, fold_col: str = "fold"
                 parallelism: int = 2, seed: int = 42):
     """Cross-validated forest grid by ROC-AUC; returns (best pipeline, rows of fold averages).
 
-    Preparation is part of the pipeline, so every fold fits its own statistics. `fold_col` holds
-    0..k-1, for example from `stratified_folds`; the best pipeline is refitted on all of `train`.
+    Every fold fits its own preparation, once for the whole grid. `fold_col` holds 0..k-1, for
+    example from `stratified_folds`; the best pipeline (the first one on ties) is refitted on all of
+    `train`. `parallelism` forests are grown at a time.
     """
-    stage = forest(label, seed=seed)
-    pipeline = Pipeline(stages=[prep or OrderPrep(), stage])
+    stage, prep = forest(label, seed=seed), prep or OrderPrep()
     grid = (ParamGridBuilder().addGrid(stage.numTrees, list(trees))
             .addGrid(stage.maxDepth, [MAX_DEPTH if d is None else d for d in depths]).build())
     metric = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    search = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=metric,
-                            numFolds=k, foldCol=fold_col, parallelism=parallelism, seed=seed)
-    fitted = search.fit(with_class_weights(train, label))
+    data = with_class_weights(train, label)
+    columns = [label, stage.getWeightCol(), stage.getFeaturesCol()]
+    totals = [0.0] * len(grid)
+    for fold in range(k):
+        held = F.col(fold_col) == fold
+        fitted = prep.fit(data.filter(~held))
+        learn, test = (fitted.transform(data.filter(c)).select(*columns).persist() for c in (~held, held))
+        with ThreadPool(parallelism) as pool:
+            scores = pool.map(lambda g: metric.evaluate(stage.fit(learn, g).transform(test)), grid)
+        totals = [t + score for t, score in zip(totals, scores)]
+        learn.unpersist()
+        test.unpersist()
+    averages = [t / k for t in totals]
+    chosen = grid[averages.index(max(averages))]
+    whole = prep.fit(data)
+    best = PipelineModel(stages=[whole, stage.fit(whole.transform(data), chosen)])
     rows = [(i, int(g[stage.numTrees]), int(g[stage.maxDepth]), float(score))
-            for i, (g, score) in enumerate(zip(grid, fitted.avgMetrics))]
+            for i, (g, score) in enumerate(zip(grid, averages))]
     table = train.sparkSession.createDataFrame(
         rows, "position int, trees int, depth int, cv_auc double")
-    return fitted.bestModel, table
+    return best, table
 
 
 def best_params(table: DataFrame) -> DataFrame:

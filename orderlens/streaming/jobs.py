@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -87,21 +86,17 @@ class _Carry(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         # the rows of one conversation in one micro-batch, in any order
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("turn", kind="stable")
-        batch = batch.reset_index(drop=True)
         order, image, seen = self._session.get() if self._session.exists() else (None, None, -1)
-        late = batch["turn"] <= seen
-        out = batch[["conv_id", "turn", "intent"]].assign(late=late)
-        for name, write, start in (("session_order", "order_write", order),
-                                   ("session_image", "image_write", image)):
-            written = batch[write].astype(object).where(~late & batch[write].notna(), None)
-            # late turns sort first and see the stored state, later ones the last value written
-            held = pd.Series([start, *written], dtype=object).ffill()
-            out[name] = held.where(held.notna(), None).to_numpy()[1:]
-        final = out.iloc[-1]
-        self._session.update((final["session_order"], final["session_image"],
-                              int(max(seen, final["turn"]))))
-        yield out
+        last = seen
+        for row in sorted(rows, key=lambda r: r.turn):
+            late = row.turn <= seen  # late turns come first and see the stored state
+            if not late:
+                order = order if row.order_write is None else row.order_write
+                image = image if row.image_write is None else row.image_write
+                last = row.turn
+            yield Row(conv_id=row.conv_id, turn=row.turn, intent=row.intent, late=late,
+                      session_order=order, session_image=image)
+        self._session.update((order, image, int(last)))
 
     def close(self) -> None:
         pass
@@ -121,7 +116,7 @@ def stream_carry_context(screened: DataFrame, order: str = "order_ref",
     written = screened.select("conv_id", "turn", "intent",
                               order_write.cast("string").alias("order_write"),
                               image_write.alias("image_write"))
-    carried = written.groupBy("conv_id").transformWithStateInPandas(
+    carried = written.groupBy("conv_id").transformWithState(
         statefulProcessor=_Carry(), outputStructType=CARRY_OUTPUT, outputMode="Append",
         timeMode="None")
     return with_resolution(carried, order, image)
