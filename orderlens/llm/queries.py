@@ -48,7 +48,8 @@ def op7_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return hosts.host_rules(read(spark, folder, "documents"))
+    done = hosts.host_rules(read(spark, folder, "documents"))
+    return done.withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,5 +89,72 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE lists AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+tokens AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM lists),
+windows AS (
+    SELECT doc_id, w || ' ' || lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) || ' '
+               || lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM tokens),
+shingles AS (
+    SELECT DISTINCT doc_id, s FROM windows WHERE s IS NOT NULL
+    UNION SELECT doc_id, array_to_string(words, ' ') FROM lists WHERE len(words) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (s)
+    WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * c >= 90 * (p.n + q.n - c)),
+either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+    SELECT doc_id, doc_id AS r FROM documents
+    UNION SELECT e.y, reached.r FROM reached JOIN either e ON e.x = reached.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY 1) USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+lists AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM docs),
+tokens AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM lists),
+windows AS (
+    SELECT rid, i, w, lead(w, 1) OVER (PARTITION BY rid ORDER BY i) AS w1,
+           lead(w, 2) OVER (PARTITION BY rid ORDER BY i) AS w2 FROM tokens),
+counted AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w1, w2) AS c FROM windows WHERE w2 IS NOT NULL),
+repeated AS (
+    SELECT rid, count(DISTINCT i + k) AS n FROM counted, range(3) r(k) WHERE c > 1 GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
+doubled AS (
+    SELECT rid, sum(c - 1) AS n FROM (
+        SELECT rid, count(*) AS c FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line)
+    GROUP BY rid),
+counts AS (
+    SELECT l.rid, doc_id, host, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    FROM lists l LEFT JOIN doubled d USING (rid) LEFT JOIN repeated r USING (rid)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+hosts AS (SELECT host, count(*) AS n_docs, CAST(sum(base_failed::INT) AS BIGINT) AS n_failed FROM failed GROUP BY host),
+total AS (
+    SELECT sum(n_docs)::DOUBLE AS n, sum(n_failed)::DOUBLE AS f, count(*) AS h,
+           sum(n_failed::DOUBLE * n_failed / n_docs) AS ff, sum(n_docs::DOUBLE * n_docs) AS nn FROM hosts),
+spread AS (
+    SELECT f / n AS m, (f / n) * (1 - f / n) AS within,
+           greatest(0.0::DOUBLE, (ff - n * (f / n) * (f / n) - (h - 1) * (f / n) * (1 - f / n))
+                    / greatest(n - nn / n, 1e-9)) AS apart FROM total),
+prior AS (
+    SELECT least(greatest(m, 1e-6), 1 - 1e-6) AS m,
+           CASE WHEN apart > 0 THEN least(greatest(within / apart - 1, 1.0::DOUBLE), 10000.0::DOUBLE)
+                ELSE 10000.0::DOUBLE END AS strength FROM spread),
+rates AS (SELECT h.*, (n_failed + m * strength) / (n_docs + strength) AS rate FROM hosts h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= 0.5 AS kept, f.host, n_docs, n_failed, round(rate, 6) AS host_rate
+FROM failed f JOIN rates r ON f.host IS NOT DISTINCT FROM r.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_host_rules": OP8_SQL}
