@@ -251,8 +251,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document is one block. It is in the output once per full pass over its source, and once more
     if the last pass takes at least half of its words, so a source misses its target by half a
     document at most. Copies of the last pass go to the shard that drew them, those of full passes to
-    a shard chosen by a hash; each shard is one partition (of many files, if it is large) in random
-    order. Same defined cases as `mix`; documents without words are left out.
+    a shard chosen by a hash. The rows of a shard are dealt to partitions at random (by a hash) and
+    put in random order there; a partition may hold parts of several shards, one after the other. Same
+    defined cases as `mix`; documents without words are left out.
     """
     text = F.col(text_col).cast("string")
     sized = stored(sized_documents(docs, id_col, text_col, source_col), "sized")
@@ -277,4 +278,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shard = F.when(F.col("copy") > F.col("passes"), F.col("drawn_shard")).otherwise(
         F.pmod(F.xxhash64("uid", "copy", F.lit(seed)), F.lit(n)))
     rows = rows.select("row", shard.alias("shard"), F.xxhash64(F.lit(seed + 3), "uid", "copy").alias("place"))
-    return rows.repartition(n, "shard").sortWithinPartitions("shard", "place").select("row.*")
+    # 64 parts of each shard, so that partitions come out even
+    return rows.repartition("shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place").select("row.*")
