@@ -16,7 +16,7 @@ from ..session import work_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = work_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Empties stored frames whose every reader has itself been stored or collected."""
+    for frame in frames:
+        frame.sparkSession.createDataFrame([], frame.schema).write.mode("overwrite").parquet(frame.stored_at)
 
 
 

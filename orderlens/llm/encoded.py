@@ -15,9 +15,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .base import SLICE_BYTES, mix, slices, stored, words
+from .base import mix, slices, stored, words
 
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 1_500_000
+SLICE_BYTES = 5 << 20
 SLICE_COLUMNS = "slice_id long, role int, doc_ids array<{kind}>, bounds binary, codes binary, hashes binary, n_tokens long"
 REQUEST = "kind int, bucket int, slice_id long, n int, wants int, hashes binary, learn binary, tune binary"
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the end of a text

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .base import owner, stored
+from .base import owner, release, stored
 from .encoded import REQUEST, Slice, encode, gathered, mix, n_buckets, requests, squeeze, unique, unsqueeze
 from .graph import components
 from .lm import ASKED
@@ -206,18 +206,17 @@ def _verify(percent: int):
 
 def _families(reps: DataFrame) -> DataFrame:
     """(doc_id, family) of the documents that share a signature with another one."""
-    signed = reps.select("doc_id", F.explode("signs").alias("sign"))
+    signed = stored(reps.select("doc_id", F.explode("signs").alias("sign")), "signs")
     heads = signed.groupBy("sign").agg(F.count("*").alias("docs"), F.min("doc_id").alias("head")).filter("docs > 1")
     star = signed.join(heads, "sign").select("doc_id", "head").filter("doc_id != head").distinct()
     roots = components(star, "doc_id", "head")
+    release(signed)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("family")).unionByName(
         roots.select(F.col("root").alias("doc_id"), F.col("root").alias("family")).distinct())
 
 
 def _linked(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(doc_id, other) links that connect what similar members of a family connect."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
-    members = stored(members.join(sizes, "family"), "members")
     blocks = F.ceil(F.col("size") / block).cast("int")
     tasks = max(1, members.count() // (4 * block))
     place = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -256,13 +255,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = stored(sliced.groupBy("slice_id").cogroup(answers.groupBy("slice_id")).applyInArrow(
         _signed(shingle, percent, rare),
         "doc_id long, n long, d1 long, d2 long, signs array<long>, keys binary"), "sets")
+    release(sliced)
     same = ["n", "d1", "d2"]
     classes = stored(rows.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     signed = rows.filter("keys is not null and doc_id is not null")
-    reps = stored(signed.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-                  .dropDuplicates(["doc_id"]), "signed")
-    members = reps.select("doc_id", "n", "keys").join(_families(reps.select("doc_id", "signs")), "doc_id")
+    reps = classes.select(*same, F.col("rep").alias("doc_id"))
+    families = stored(_families(signed.select(*same, "doc_id", "signs").join(reps, [*same, "doc_id"], "left_semi")),
+                      "families")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    placed = families.join(sizes, "family").join(reps, "doc_id")
+    # the sets themselves move for this join and once more to their tasks
+    members = stored(signed.select(*same, "doc_id", "keys").join(placed, [*same, "doc_id"])
+                     .select("doc_id", "n", "keys", "family", "size"), "members")
     roots = components(_linked(members, percent, block), "doc_id", "other")
+    release(members)
     classed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left") \
         .select(*same, F.coalesce("root", "rep").alias("component"))
     joined = rows.select("doc_id", *same).join(classed, same, "left")
