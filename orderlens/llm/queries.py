@@ -43,7 +43,7 @@ def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = spans.span_dedup(read(spark, folder, "documents"))
+    done = spans.span_dedup(read(spark, folder, "documents"), grow=True)
     return done.select("doc_id", "text", "n_sentences", "n_removed", "removed")
 
 

@@ -45,44 +45,57 @@ def sentences(text: str, unit_words: int) -> list[tuple[int, int, int, str]]:
     return out
 
 
-def run_keys(units: list[tuple[int, int, int, str]], run: int, least: int):
-    """(position, hash, check) of every run of `run` units that has `least` words."""
-    if len(units) < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+def run_keys(units: list[tuple[int, int, int, str]], run: int, least: int, grow: bool = True):
+    """(position, units, hash, check) of every run of `run` units, or of more where these are short.
+
+    With `grow`, a run of `run` units with fewer than `least` words grows by whole units, forwards from its first
+    one and backwards from its last one, until it has them. So each unit of a passage with `run` units
+    and `least` words lies in a run inside the passage.
+    """
     h = np.fromiter((xxhash.xxh3_64_intdigest(u[3]) for u in units), np.uint64, len(units))
     n = np.fromiter((u[2] for u in units), np.int64, len(units))
-    size = len(units) - run + 1
-    parts = [h[i:i + size] for i in range(run)]
-    long_enough = np.flatnonzero(sum(n[i:i + size] for i in range(run)) >= least)
-    first, second = mix(*parts), mix(*parts[::-1]) >> np.uint64(32)
-    return long_enough, first.view(np.int64)[long_enough], \
-        second.astype(np.uint32).view(np.int32)[long_enough]
-
-
-def _runs(unit_words: int, run: int, least: int):
+    total = np.concatenate(([0], np.cumsum(n)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for size in range(run, min(max(run, least) if grow else run, len(units)) + 1):  # a unit has one word at least
+        words = total[size:] - total[:-size]
+        wanted = words >= least
+        if size > run:
+            wanted &= (words - n[size - 1:] < least) | (words - n[:len(words)] < least)
+        at = np.flatnonzero(wanted)
+        if len(at):
+            parts = [h[at + i] for i in range(size)]
+            found.append((at, np.full(len(at), size), mix(*parts), mix(*parts[::-1]) >> np.uint64(32)))
+        if words.min() >= least:
+            break  # nothing is left to grow
+    at, size, first, second = (np.concatenate(x) for x in zip(*found))
+    return at, size, first.view(np.int64), second.astype(np.uint32).view(np.int32)
+
+
+def _runs(unit_words: int, run: int, least: int, grow: bool):
     def work(batches):
         for batch in slices(batches, "text"):
             at, keys = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                found = run_keys(sentences(text or "", unit_words), run, least)
+                found = run_keys(sentences(text or "", unit_words), run, least, grow)
                 at.append(np.full(len(found[0]), row, np.int64))
                 keys.append(found)
-            pos, hashes, check = (np.concatenate([k[i] for k in keys]) for i in range(3))
+            pos, size, hashes, check = (np.concatenate([k[i] for k in keys]) for i in range(4))
             table = pa.Table.from_arrays(
                 [batch.column("doc_id").take(pa.array(np.concatenate(at))), pa.array(pos.astype(np.int32)),
-                 pa.array(hashes), pa.array(check)], names=["doc_id", "pos", "hash", "check"])
+                 pa.array(size.astype(np.int32)), pa.array(hashes), pa.array(check)],
+                names=["doc_id", "pos", "size", "hash", "check"])
             yield from table.to_batches(max_chunksize=50_000)
     return work
 
 
-def _cut(unit_words: int, run: int):
+def _cut(unit_words: int):
     def work(batches):
         for batch in slices(batches, "text"):
             texts, total, gone, spans = [], [], [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
                 units = sentences(text or "", unit_words)
                 total.append(len(units))
-                drop = sorted({p for s in starts or () for p in range(s, s + run) if p < len(units)})
+                drop = sorted({p for s in starts or () for p in range(s["pos"], s["pos"] + s["size"]) if p < len(units)})
                 gone.append(len(drop))
                 joined: list[list[int]] = []
                 for p in drop:
@@ -104,35 +117,36 @@ def _cut(unit_words: int, run: int):
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3,
-               least_words: int = 12, unit_words: int = 16) -> DataFrame:
+               least_words: int = 12, unit_words: int = 16, grow: bool = False) -> DataFrame:
     """All columns of `docs` with the cut text, then n_sentences, n_removed and removed.
 
-    Every run of `run` consecutive sentences (see `sentences`) with at least `least_words` words is
-    hashed (96 bits). Of equal runs the one with the smallest (id, position) is first; sentences that
+    Every run of `run` consecutive sentences (see `sentences`) is hashed (96 bits). One with fewer than
+    `least_words` words grows by whole sentences until it has them (see `run_keys`), or without `grow`
+    is left out, so that a repeated list of short lines stays. Of equal runs the one with the smallest (id, position) is first; sentences that
     any other one covers are removed, also inside one document. `removed` lists the character spans
     [start, end) taken out of the original text. Runs, not texts, are shuffled to find repeats; equal
     runs are counted before the shuffle, and the join against one row per repeated run may be split
     where a run is very frequent.
 
-    Defined cases: a null text stays null with 0 sentences; texts of fewer than `run` sentences are
-    never cut; rows that repeat an id get the findings of all of them, at the same positions; null
+    Defined cases: a null text stays null with 0 sentences; texts of fewer than `run` sentences or
+    `least_words` words are never cut; rows that repeat an id get the findings of all of them, at the same positions; null
     ids are one id, the smallest; result columns replace columns of the same name.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    runs = stored(rows.mapInArrow(_runs(unit_words, run, least_words),
-                                  f"doc_id {kind}, pos int, hash long, check int"), "runs")
+    runs = stored(rows.mapInArrow(_runs(unit_words, run, least_words, grow),
+                                  f"doc_id {kind}, pos int, size int, hash long, check int"), "runs")
     heads = runs.groupBy("hash", "check").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("head")).filter("n > 1")
     later = runs.join(heads, ["hash", "check"]).filter(
         ~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("pos") == F.col("head.pos"))))
-    starts = later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    starts = later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("starts"))
     others = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed", "removed")]
     plain = docs.select(F.struct(*others).alias("others"), F.col(id_col).alias("key"),
                         F.col(text_col).cast("string").alias("text"))
     joined = plain.join(starts, plain["key"].eqNullSafe(starts["doc_id"]), "left").select("others", "text", "starts")
     fields = T.StructType([joined.schema["others"]] + T._parse_datatype_string(
         "text string, n_sentences long, n_removed long, removed array<struct<start: long, end: long>>").fields)
-    done = joined.mapInArrow(_cut(unit_words, run), fields)
+    done = joined.mapInArrow(_cut(unit_words), fields)
     return done.select(*[F.col("others")[c].alias(c) for c in others],
                        *[F.col("text").alias(text_col), "n_sentences", "n_removed", "removed"])

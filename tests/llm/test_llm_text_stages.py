@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm import hosts, lines, pack, spans
 from orderlens.llm.base import n_words, read
-from orderlens.llm.queries import op6_pack, op8_host_rules, tokenizer_path
+from orderlens.llm.queries import op6_pack, op7_span_dedup, op8_host_rules, tokenizer_path
 
 SHAPE = (2, 2, 2, 16)
 
@@ -103,6 +103,22 @@ def test_planted_passage_goes_and_clean_text_stays(spark):
     assert rows[1][1][taken.start:taken.end].strip() == passage
 
 
+def test_a_repeated_list_of_short_lines_goes(spark, tmp_path):
+    items = [f"item{i} no{i}" for i in range(30)]
+    uneven = ["one.", "two words.", "now three words.", "a.", "b.", *[f"c{i}." for i in range(11)], "five more words are here."]
+    own = [f"Text {d} has its own words in {d + 1} places here." for d in range(6)]
+    rows = [(d, "\n".join([own[d], *items, own[d + 3]])) for d in range(3)]
+    rows += [(d, " ".join([own[d - 3], *uneven, own[d]])) for d in (3, 4)]
+    few = "\n".join(["a b", "c d", "e f", "g h", "i j"])  # 10 words
+    rows += [(d, f"Head {d}\n{few}\nTail {d}") for d in (5, 6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op7_span_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[d].text == rows[d][1] for d in (0, 3, 5, 6))
+    assert got[1].text == own[1] + "\n" + own[4] and got[1].n_removed == 30
+    assert got[2].text == own[2] + "\n" + own[5]
+    assert got[4].text == own[1] + " " + own[4]
+
+
 def test_span_dedup_of_edge_rows(spark):
     rows = spans.span_dedup(edge_documents(spark)).collect()
     by = {r.doc_id: r for r in rows}
