@@ -16,12 +16,37 @@ WORDS = re.compile(WORD)
 ENDING = ".!?"
 
 
+def steps(found: list[str], window: int) -> list[int]:
+    """Word positions at which a long sentence is cut, chosen by the words around them.
+
+    Of every `window` consecutive pairs of words the last one with the smallest hash is followed by a
+    cut. The same words are cut alike whatever stands before them, but for `window` words at their
+    edges, and no step between two cuts has more than `window` words.
+    """
+    h = [xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(found, found[1:])]
+    out: list[int] = []
+    best = -1
+    for j in range(window - 1, len(h)):
+        low = j - window + 1
+        if best < low:
+            part = h[low:j + 1]
+            best = j - part[::-1].index(min(part))
+        elif h[j] <= h[best]:
+            best = j
+        else:
+            continue
+        if best + 2 < len(found):
+            out.append(best + 2)
+    return out
+
+
 def sentences(text: str, unit_words: int) -> list[tuple[int, int, int, str]]:
     """(start, end, words, key) of each sentence, the white space behind it included.
 
     Sentences end at `.`, `!` or `?` before white space and at line ends. One of more than
-    `unit_words` words is taken in steps of so many words, so a passage of one long sentence is also a
-    run of several units. The key is the words with single spaces and no final mark.
+    `unit_words` words is cut further at borders that its words choose (see `steps`), so a passage in a
+    long sentence is also a run of several units, the same ones behind any other words. The key is the
+    words with single spaces and no final mark.
     """
     out: list[tuple[int, int, int, str]] = []
     borders = [m.end() for m in BORDER.finditer(text)]
@@ -37,9 +62,11 @@ def sentences(text: str, unit_words: int) -> list[tuple[int, int, int, str]]:
         if len(found) <= unit_words:
             out.append((start, end, len(found), " ".join(found).rstrip(ENDING)))
         else:
-            cuts = [start, *[start + m.start() for m in WORDS.finditer(part)][unit_words::unit_words], end]
+            at = [m.start() for m in WORDS.finditer(part)]
+            words = [0, *steps([w.rstrip(ENDING) for w in found], max(1, unit_words // 2)), len(found)]
+            cuts = [start, *[start + at[i] for i in words[1:-1]], end]
             for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
-                piece = found[i * unit_words:(i + 1) * unit_words]
+                piece = found[words[i]:words[i + 1]]
                 out.append((low, high, len(piece), " ".join(piece).rstrip(ENDING)))
         start = end
     return out

@@ -119,6 +119,29 @@ def test_a_repeated_list_of_short_lines_goes(spark, tmp_path):
     assert got[4].text == own[1] + " " + own[4]
 
 
+def test_a_passage_behind_other_words_of_its_sentence_goes(spark):
+    passage = " ".join(f"inner{i}" for i in range(55))
+    own = [" ".join(f"own{d}x{i}" for i in range(n)) for d, n in enumerate((0, 1, 5, 11, 20, 38))]
+    rows = [(d, f"{x} {passage} {x[::-1]}.".strip()) for d, x in enumerate(own)]
+    got = {r.doc_id: r.text for r in spans.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for d in range(1, 6):
+        left = set(got[d].rstrip(".").split())
+        assert set(own[d].split()) <= left and set(own[d][::-1].split()) <= left
+        assert not any(f"inner{i}" in left for i in range(9, 46))
+
+
+def test_long_sentences_are_cut_alike_after_any_prefix():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 900, 120)]
+        skip = int(rng.integers(1, 60))
+        whole, part = spans.steps(words, 8), spans.steps(words[skip:], 8)
+        assert [x for x in whole if x >= skip + 9] == [x + skip for x in part if x >= 9]
+        assert all(b - a <= 8 for a, b in zip(whole, whole[1:])) and whole[0] <= 9 and 120 - whole[-1] <= 8
+    assert "".join("a b c d e f g h"[a:b] for a, b, _, _ in spans.sentences("a b c d e f g h", 4)) == "a b c d e f g h"
+
+
 def test_span_dedup_of_edge_rows(spark):
     rows = spans.span_dedup(edge_documents(spark)).collect()
     by = {r.doc_id: r for r in rows}
