@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated line chunks are cut out; a document of which no word is left goes."""
-    done = lines.line_dedup(docs)
+    done = lines.line_dedup(docs, window=0)
     done = done.filter((F.col("n_removed") == 0) | (n_words(F.col("text")) > 0))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

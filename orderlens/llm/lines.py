@@ -41,8 +41,11 @@ def chunk_ends(hashes: np.ndarray, window: int, modulus: int, least: int, most:
 
 
 def chunks_of(text: str, shape: tuple) -> list[tuple[int, int, str]]:
-    """(first line, number of lines, chunk text) of each chunk of a text."""
+    """(first line, number of lines, chunk text) of each chunk of a text; with window 0, every run of `least` lines."""
     lines = text.split("\n")
+    if shape[0] == 0:
+        size = shape[2]
+        return [(i, size, "\n".join(lines[i:i + size])) for i in range(len(lines) - size + 1)]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
     out, start = [], 0
     for end in chunk_ends(hashes, *shape):
@@ -110,8 +113,16 @@ def _clean(shape: tuple):
                 out = {(d["chunk"], d["hash"]) for d in drop}
                 drop_at = {i for i, (_, _, c) in enumerate(found)
                            if (i, _long(xxhash.xxh3_64_intdigest(c))) in out}
-                kept.append("\n".join(c for i, (_, _, c) in enumerate(found) if i not in drop_at))
-                gone.append(sum(n for i, (_, n, _) in enumerate(found) if i in drop_at))
+                away = set()
+                for i in drop_at:
+                    first, n, chunk = found[i]
+                    # a run that starts inside an equal one which stays leaves the shared lines there
+                    inside = next((j for j in range(max(0, i - n + 1), i) if shape[0] == 0
+                                   and j not in drop_at and found[j][2] == chunk), None)
+                    away.update(range(first if inside is None else inside + n, first + n))
+                lines = (text or "").split("\n")
+                kept.append("\n".join(x for i, x in enumerate(lines) if i not in away))
+                gone.append(len(away))
             columns = [batch.column(n) for n in batch.schema.names if n not in ("text", "drop")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
@@ -148,6 +159,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all chunks are shuffled; texts of repeated chunks are fetched for the comparison. A chunk that a
     third of all documents share is counted before the shuffle.
 
+    With `window` 0 the chunks are instead all runs of `least` lines, which overlap, so every repeated
+    passage of so many lines is found wherever it stands; lines that any repeated run covers go.
+
     Defined cases: a null text stays null with 0 lines; an empty text has one empty line; chunks
     without a visible character are never removed; rows that repeat an id are cleaned by the union of
     that id's findings, and rows that repeat id and text count as one document (so copies under one

@@ -20,7 +20,7 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = lines.line_dedup(read(spark, folder, "documents"))
+    done = lines.line_dedup(read(spark, folder, "documents"), window=0)
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm import hosts, lines, pack, spans
 from orderlens.llm.base import n_words, read
-from orderlens.llm.queries import op6_pack, op7_span_dedup, op8_host_rules, tokenizer_path
+from orderlens.llm.queries import op3_line_dedup, op6_pack, op7_span_dedup, op8_host_rules, tokenizer_path
 
 SHAPE = (2, 2, 2, 16)
 
@@ -67,6 +67,40 @@ def test_line_dedup_of_edge_rows(spark):
     assert lines.line_dedup(edge_documents(spark).filter("doc_id < 0")).count() == 0
 
 
+def repeated_lines_go(texts):
+    """Lines of any two consecutive lines that an earlier place has too, but for those of the first place."""
+    first, out = {}, {}
+    for key in sorted(texts):
+        lines_, gone = texts[key].split("\n"), set()
+        for i, pair in enumerate(zip(lines_, lines_[1:])):
+            if "".join(pair).strip(lines.BLANK):
+                if pair not in first:
+                    first[pair] = (key, i)
+                else:
+                    gone.update((i + 1,) if first[pair] == (key, i - 1) else (i, i + 1))
+        out[key] = "\n".join(x for i, x in enumerate(lines_) if i not in gone)
+    return out
+
+
+def test_every_repeated_pair_of_lines_goes(spark, sf, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    for size in (2, 3, 4, 5):
+        for _ in range(10):
+            passage = [f"shared {x}" for x in rng.integers(0, 10**9, size)]
+            for _ in range(2):
+                own = [f"own {x}" for x in rng.integers(0, 10**9, int(rng.integers(2, 9)))]
+                at = int(rng.integers(0, len(own) + 1))
+                rows.append((10**6 + len(rows), "\n".join([*own[:at], *passage, *own[at:]])))
+    rows.append((10**7, "same\nsame\nsame\nsame"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert {k: r.text for k, r in got.items()} == repeated_lines_go(dict(rows))
+    planted = [got[k] for k, text in rows if 10**6 <= k < 10**7]
+    assert all("shared" not in r.text and r.n_removed >= 2 for r in planted[1::2])
+    assert all(r.n_removed == 0 for r in planted[::2]) and got[10**7].text == "same\nsame"
+
+
 def cut_spans(texts, run=3, least=12, unit=16):
     seen, out = set(), {}
     for key in sorted(texts):
