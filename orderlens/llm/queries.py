@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hosts, jaccard, lines, lm, mix, pack, permutation, quality, spans, urls
-from .base import read
+from . import (hosts, jaccard, lines, lm, mix, pack, permutation, quality, repair, runs, spans, token_counts,
+               urls)
+from .base import GAP, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -61,9 +62,60 @@ def op10_permutation_search(spark: SparkSession, folder: str) -> DataFrame:
     return permutation.permutation_search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def counting_tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, folder, "documents"), counting_tokenizer_path(), limit=512)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): about a tenth of the documents repeat a stretch of words to their end.
+
+    With h the crc32 of the id (null: of the empty text) and g = h div 10, documents with h mod 10 = 0
+    and n > 0 words keep those before a = g mod n and repeat the next 1 + (n - a) div (3 + g mod 8).
+    """
+    n, g = F.size("words"), F.col("g")
+    a = (g % n).cast("int")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / period).cast("int")
+    periodic = F.concat(F.slice("words", F.lit(1), a),
+                        F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, period), times)), F.lit(1), n - a))
+    keyed = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    chosen = keyed.select("doc_id", "text", F.floor(F.col("h") / 10).cast("long").alias("g"), F.when(
+        F.col("h") % 10 == 0, F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP), "")).alias("words"))
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(with_periods(read(spark, folder, "documents")), least=12)
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows with `copies`: by crc32 of `conv_id:turn` modulo 20 a row is dropped (0 copies), emptied,
+    robbed of its `.!?`, doubled or given to the user. Nulls are one space."""
+    space = F.lit(" ")
+    lot = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                           F.coalesce(F.col("turn").cast("string"), space))) % 20
+    text = F.coalesce(F.col("text").cast("string"), space)
+    return turns.select("conv_id", "turn", lot.alias("lot"), "role", text.alias("text")).select(
+        "conv_id", "turn", F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text")).alias("text"),
+        F.when(F.col("lot") == 0, 0).when(F.col("lot") == 3, 2).otherwise(1).alias("copies"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_conversations(damaged_turns(read(spark, folder, "conversations")), copies_col="copies")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_lm_score, op2_jaccard_join, op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup,
-                                    op8_host_rules,                                     op9_quality, op10_permutation_search)}
+    return {f.__name__: f for f in (
+        op1_lm_score, op2_jaccard_join, op3_line_dedup, op4_url_filter, op5_mix, op6_pack, op7_span_dedup,
+        op8_host_rules, op9_quality, op10_permutation_search, op11_token_counts, op12_word_runs,
+        op13_conversation_repair)}
 
 
 OP4_SQL = r"""
