@@ -8,21 +8,32 @@ checked size:
   own k best per query and the partial lists are merged;
 * the corpus side, when that one is small: every batch of queries is answered at once, without a
   shuffle;
-* neither: both sides are cut into evenly filled blocks by a hash of their unique id, and each
-  pair of blocks is one bounded group.
+* neither: both sides are cut into blocks of near vectors, each with a centre and a radius. A query
+  first meets its own block, which gives a floor under its k-th best score; it then meets only blocks
+  whose bound (product with the centre plus length times radius) reaches that floor. Each pair of
+  blocks that is left is one bounded group of vectors.
+
+Columns that come along are joined to the winners when both sides are large.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_dir
+
 SMALL_ROWS = 20_000
 SMALL_BYTES = 64 << 20
+CENTRE_BYTES = 32 << 20  # all centres together; with more rows, blocks are split into parts instead
+SLACK = 1e-6  # scores are compared after rounding, bounds with room for it
 TILE_CELLS = 4 << 20  # scores held at once: 32 MB of doubles
 
 
@@ -87,18 +98,14 @@ def _keep_best(table: pa.Table, k: int) -> pa.Table:
 def _small_side(df: DataFrame, key: str, small_rows: int):
     """The rows as one Arrow table if there are at most `small_rows` of them, else None.
 
-    The check takes keys partition by partition and stops one past the limit, so a large side is
-    neither computed nor fetched; then the bytes are added up where the rows are. Only a side known
-    to be small is collected.
+    One aggregation adds up rows and bytes where the rows are; only a side known to be small is
+    collected.
     """
-    if len(df.select(key).take(small_rows + 1)) > small_rows:
-        return None
     size = sum((F.coalesce(F.size(f.name) * 8 if isinstance(f.dataType, T.ArrayType)
                            else F.octet_length(F.col(f.name).cast("string")), F.lit(0)).cast("bigint")
                 for f in df.schema), F.lit(0).cast("bigint"))
-    if (df.agg(F.sum(size)).first()[0] or 0) > SMALL_BYTES:
-        return None
-    return df.toArrow()
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return df.toArrow() if found["n"] <= small_rows and found["size"] <= SMALL_BYTES else None
 
 
 def _whole(df: DataFrame, vector: str) -> DataFrame:
@@ -133,9 +140,13 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, *, query_id:
         return _merge(_scan_corpus(c, held, k, exclude_self, digits, out_schema, carry), k, carry)
     held = _small_side(c, "item_id", small_rows)
     if held is not None:
-        return _rank(_scan_queries(q, held, k, exclude_self, digits, out_schema, carry), carry)
-    return _merge(_block_pairs(q, c, k, exclude_self, digits, out_schema, carry, block_rows), k,
-                  carry)
+        return _scan_queries(q, held, k, exclude_self, digits, out_schema, carry)
+    plan = block_plan(q, c, k, exclude_self=exclude_self, digits=digits, block_rows=block_rows)
+    hits = _merge(plan.near.unionByName(_meet(plan.queries, plan.items, plan.met, k, exclude_self, digits)), k, [])
+    if not carry:
+        return hits
+    extra = corpus.select(F.col(item_id).alias("item_id"), *carry)
+    return hits.join(extra, "item_id").select("query_id", "item_id", "score", "rank", *carry)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -175,10 +186,12 @@ def _scan_corpus(corpus, held, k, exclude_self, digits, out_schema, carry) -> Da
 
 
 def _scan_queries(queries, held, k, exclude_self, digits, out_schema, carry) -> DataFrame:
+    """A query's list is finished, and ranked, in its own task."""
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast((held.select(["item_id", *carry]),
                                            _ids(held["item_id"]), _matrix(held["_iv"])))
     schema = _arrow(out_schema)
+    ranked = T.StructType([*out_schema.fields, T.StructField("rank", T.IntegerType())])
 
     def search(batches):
         items, ids, vecs = shared.value
@@ -187,40 +200,150 @@ def _scan_queries(queries, held, k, exclude_self, digits, out_schema, carry) ->
                 continue
             qi, ii, score = _score_block(_ids(batch["query_id"]), _matrix(batch["_qv"]), ids,
                                          vecs, k, exclude_self, digits)
+            order = np.lexsort((ids[ii], -score, qi))
+            qi, ii, score = qi[order], ii[order], score[order]
+            rank = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") + 1
             hits = items.take(pa.array(ii)).append_column("score", pa.array(score))
-            yield from _result(batch["query_id"].take(pa.array(qi)), hits, schema,
-                               carry).to_batches()
+            yield from _result(batch["query_id"].take(pa.array(qi)), hits, schema, carry
+                               ).append_column("rank", pa.array(rank, pa.int32())).to_batches()
 
-    return queries.mapInArrow(search, out_schema)
+    return queries.mapInArrow(search, ranked).select("query_id", "item_id", "score", "rank", *carry)
 
 
-def _block_pairs(queries, corpus, k, exclude_self, digits, out_schema, carry,
-                 block_rows) -> DataFrame:
-    # ids are unique, so hashing them fills the blocks evenly
-    n_q = max(1, -(-queries.count() // block_rows))
-    n_c = max(1, -(-corpus.count() // block_rows))
+# ---- both sides large: blocks of near vectors -----------------------------------------------
 
-    def block(c, n):
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+@dataclass(frozen=True)
+class BlockPlan:
+    """`near`: hits of each query in the blocks it met first; `met`: (query_id, cell, block), the further
+    blocks it has to meet; `queries`: query_id, cell, _qv; `items`: item_id, block, part, _iv;
+    `blocks`: block, radius, n."""
 
-    left = (queries.withColumn("_qb", block("query_id", n_q))
-            .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))))
-    right = (corpus.withColumn("_cb", block("item_id", n_c))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-    schema = _arrow(out_schema)
+    near: DataFrame
+    met: DataFrame
+    queries: DataFrame
+    items: DataFrame
+    blocks: DataFrame
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _nearest(rows: DataFrame, column: str, centres: Broadcast, own: str) -> DataFrame:
+    """Adds the nearest centre as `own` and the distance to it."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(own, T.IntegerType()), T.StructField("distance", T.DoubleType())])
+
+    def assign(batches):
+        points = centres.value
+        squares = (points ** 2).sum(axis=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vecs = _matrix(batch[column])
+            chosen, tile = np.zeros(len(vecs), np.int32), max(1, TILE_CELLS // len(points))
+            for at in range(0, len(vecs), tile):
+                chosen[at:at + tile] = np.argmin(squares - 2 * vecs[at:at + tile] @ points.T, axis=1)
+            away = np.sqrt(((vecs - points[chosen]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen), pa.array(away)], names=schema.fieldNames())
 
-    def search(qs: pa.Table, items: pa.Table) -> pa.Table:
-        if not qs.num_rows or not items.num_rows:
+    return rows.mapInArrow(assign, schema)
+
+
+def _bounded(queries: DataFrame, blocks: Broadcast, least: int, floors: bool) -> DataFrame:
+    """(query_id, cell, block): without floors the blocks of highest bound that hold `least` items, else
+    all others whose bound reaches the query's floor (all, where it has none)."""
+    schema = T.StructType([queries.schema["query_id"], T.StructField("cell", T.IntegerType()),
+                           T.StructField("block", T.IntegerType())])
+
+    def choose(batches):
+        numbers, points, radius, counts = blocks.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vecs, floor = _matrix(batch["_qv"]), None
+            if floors:
+                floor = batch["floor"].to_numpy(zero_copy_only=False).astype(np.float64)
+            for at in range(0, len(vecs), max(1, TILE_CELLS // max(1, len(numbers)))):
+                some = vecs[at:at + max(1, TILE_CELLS // max(1, len(numbers)))]
+                bound = some @ points.T + np.sqrt((some ** 2).sum(axis=1))[:, None] * radius
+                order = np.argsort(-bound, axis=1, kind="stable")
+                first = np.cumsum(counts[order], axis=1) - counts[order] < least
+                keep = np.zeros(bound.shape, bool)
+                np.put_along_axis(keep, order, first, axis=1)
+                if floors:
+                    here = floor[at:at + len(some)]
+                    keep = ~keep & (np.isnan(here)[:, None] | (bound >= here[:, None] - SLACK))
+                rows, cols = np.nonzero(keep)
+                taken = pa.array(rows + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["query_id"].take(taken), batch["cell"].take(taken), pa.array(numbers[cols].astype(np.int32))],
+                    names=schema.fieldNames())
+
+    return queries.mapInArrow(choose, schema)
+
+
+def _meet(queries: DataFrame, items: DataFrame, met: DataFrame, k: int, exclude_self: bool, digits: int) -> DataFrame:
+    """Partial lists (query_id, item_id, score) of every pair of blocks that `met` leaves over."""
+    asked = met.join(queries.select("query_id", "_qv"), "query_id")
+    pairs = met.select(F.col("cell").alias("to"), F.col("block").alias("b")).distinct()
+    parts = items.select(F.col("block").alias("b"), F.col("part").alias("piece")).distinct()
+    left = asked.join(parts, F.col("block") == F.col("b")).select("cell", "block", "piece", "query_id", "_qv")
+    right = items.join(pairs, F.col("block") == F.col("b")).select("to", "b", "part", "item_id", "_iv")
+    kinds = T.StructType([queries.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType())])
+    schema = _arrow(kinds)
+
+    def search(qs: pa.Table, held: pa.Table) -> pa.Table:
+        if not qs.num_rows or not held.num_rows:
             return schema.empty_table()
-        qi, ii, score = _score_block(_ids(qs["query_id"]), _matrix(qs["_qv"]),
-                                     _ids(items["item_id"]), _matrix(items["_iv"]), k,
-                                     exclude_self, digits)
-        hits = items.select(["item_id", *carry]).take(pa.array(ii))
-        hits = hits.append_column("score", pa.array(score))
-        return _result(qs["query_id"].take(pa.array(qi)), hits, schema, carry)
-
-    return (left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb"))
-            .applyInArrow(search, out_schema))
+        qi, ii, score = _score_block(_ids(qs["query_id"]), _matrix(qs["_qv"]), _ids(held["item_id"]),
+                                     _matrix(held["_iv"]), k, exclude_self, digits)
+        hits = held.select(["item_id"]).take(pa.array(ii)).append_column("score", pa.array(score))
+        return _result(qs["query_id"].take(pa.array(qi)), hits, schema, [])
+
+    return left.groupBy("cell", "block", "piece").cogroup(right.groupBy("to", "b", "part")).applyInArrow(search, kinds)
+
+
+def block_plan(queries: DataFrame, corpus: DataFrame, k: int, *, exclude_self: bool = False, digits: int = 6,
+               block_rows: int = SMALL_ROWS) -> BlockPlan:
+    """Blocks of both sides and the pairs of them that have to be compared.
+
+    queries: (query_id, _qv), corpus: (item_id, _iv), ids unique. Centres are corpus vectors chosen by a
+    hash, one per `block_rows` rows and as many as `CENTRE_BYTES` hold; a block with more rows is cut
+    into parts. Queries are put into cells by the same centres, so a cell's queries need the same
+    blocks, and a block is sent only to the cells that need it.
+    """
+    spark = corpus.sparkSession
+    size = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_iv")).alias("width")).first()
+    if not size["n"] or not queries.take(1):
+        none = queries.join(corpus, F.lit(False)).select("query_id", "item_id", F.lit(0.0).alias("score"))
+        cells = none.select("query_id", F.lit(0).alias("cell"), F.lit(0).alias("block"))
+        return BlockPlan(none, cells, queries.withColumn("cell", F.lit(0)),
+                         corpus.select("item_id", F.lit(0).alias("block"), F.lit(0).alias("part"), "_iv"), cells.limit(0))
+    wanted = max(1, min(-(-size["n"] // block_rows), CENTRE_BYTES // (8 * size["width"])))
+    chosen = corpus.orderBy(F.xxhash64("item_id")).limit(int(wanted)).select("_iv").toArrow()
+    centres = spark.sparkContext.broadcast(np.unique(_matrix(chosen["_iv"]), axis=0))
+    near = _stored(_nearest(corpus, "_iv", centres, "block"), "items")
+    blocks = _stored(near.groupBy("block").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n")), "blocks")
+    parts = F.broadcast(blocks.select("block", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("parts")))
+    items = near.join(parts, "block").select(
+        "item_id", "block", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int").alias("part"), "_iv")
+    held = blocks.orderBy("block").collect()  # at most as many rows as there are centres
+    numbers = np.array([r["block"] for r in held])
+    shapes = spark.sparkContext.broadcast((numbers, centres.value[numbers], np.array([r["radius"] for r in held]),
+                                           np.array([r["n"] for r in held])))
+    cell = F.col("home") * F.lit(1 << 16) + F.pmod(F.xxhash64("query_id"), F.col("split")).cast("int")
+    homes = _stored(_nearest(queries, "_qv", centres, "home"), "queries")
+    split = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("split"))
+    celled = _stored(homes.join(F.broadcast(split), "home").select("query_id", cell.alias("cell"), "_qv"), "cells")
+    least = k + int(exclude_self)
+    first = _stored(_meet(celled, items, _bounded(celled, shapes, least, False), k, exclude_self, digits), "near")
+    best = _merge(first, k, []).groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("found"))
+    floors = celled.join(best, "query_id", "left").select(
+        "query_id", "cell", "_qv", F.when(F.col("found") == k, F.col("floor")).alias("floor"))
+    met = _stored(_bounded(floors, shapes, least, True), "met")
+    return BlockPlan(first, met, celled, items, blocks)
 
 
 def _rank(hits: DataFrame, carry: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators.topk import exact_top_k
+from orderlens.operators.topk import block_plan, exact_top_k
 
 
 def frame(spark, vecs, ids, extra="x"):
@@ -96,3 +96,37 @@ def test_null_vectors_give_no_hits_and_ragged_ones_an_error(spark):
     ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "id bigint, v array<double>")
     with pytest.raises(Exception, match="different lengths"):
         exact_top_k(ragged, ragged, 1, **run).collect()
+
+
+def clustered(rows, clusters, width, seed):
+    rnd = np.random.default_rng(seed)
+    centres = rnd.normal(size=(clusters, width))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    v = centres[rnd.integers(0, clusters, rows)] + rnd.normal(scale=0.01, size=(rows, width))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def test_blocks_that_cannot_hold_a_hit_are_skipped(spark):
+    items, asked = clustered(1500, 12, 16, 1), clustered(400, 12, 16, 1)[:300]
+    corpus, queries = frame(spark, items, list(range(1500))), frame(spark, asked, list(range(300)))
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("_qv"))
+    c = corpus.select(F.col("id").alias("item_id"), F.col("v").alias("_iv"))
+    plan = block_plan(q, c, 3, block_rows=60)
+    n_blocks, n_met = plan.blocks.count(), plan.met.count()
+    assert n_blocks > 10 and n_met < 0.5 * 300 * (n_blocks - 1)  # the full product meets all of them
+    assert plan.items.groupBy("block", "part").count().agg(F.max("count")).first()[0] < 200
+    got = exact_top_k(queries, corpus, 3, query_id="id", query_vec="v", item_id="id", item_vec="v", carry=["tag"],
+                      small_rows=10, block_rows=60)
+    assert collect(got) == brute(list(range(300)), asked, list(range(1500)), items, 3)
+
+
+def test_blocks_with_one_vector_for_a_third_and_fewer_items_than_k(spark):
+    rnd = np.random.default_rng(2)
+    items = rnd.normal(size=(90, 5))
+    items[:30] = items[0]
+    df = frame(spark, items, list(range(90)))
+    run = dict(query_id="id", query_vec="v", item_id="id", item_vec="v", carry=["tag"], small_rows=2)
+    got = collect(exact_top_k(df, df, 4, block_rows=8, exclude_self=True, **run))
+    assert got == brute(list(range(90)), items, list(range(90)), items, 4, exclude=True)
+    few = frame(spark, items[:5], list(range(5)))
+    assert collect(exact_top_k(df, few, 9, block_rows=2, **run)) == brute(list(range(90)), items, list(range(5)), items[:5], 9)
