@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from ..operators import confusion as C
 from ..operators import metrics as M
+from ..operators import postings as PO
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import retrieval as R
@@ -509,10 +510,13 @@ def chunks_of(spark, d) -> DataFrame:
     return R.chunk_documents(table(spark, d, "documents"))
 
 
-def text_index(spark, d):
-    chunks = stored(chunks_of(spark, d), "chunks")
-    model = R.fit_vectorizer(chunks, width=X.WIDTH)
-    return R.build_index(chunks, work_dir(spark, "index"), model, X.WIDTH), model
+def text_index(spark, d) -> PO.Index:
+    return PO.build_postings(stored(chunks_of(spark, d), "chunks"), work_dir(spark, "index"), ["parent_doc_id", "text"],
+                             width=X.WIDTH)
+
+
+def first_sentences(index: PO.Index) -> DataFrame:
+    return index.texts.filter(F.col("chunk_id").endswith("__0"))
 
 
 @_query
@@ -531,29 +535,26 @@ def q_chunks_json(spark, d):
 @_query
 def q_evaluate_retrieval(spark, d):
     """Each document's first sentence asks for all documents that begin with it."""
-    index, model = text_index(spark, d)
-    first = index.filter(F.col("chunk_id").endswith("__0"))
-    key = first.groupBy(F.col("text").alias("query")).agg(F.collect_set("parent_doc_id").alias("relevant_doc_ids"))
-    return R.evaluate_retrieval(key, index, model, 3, X.WIDTH)
+    index = text_index(spark, d)
+    key = first_sentences(index).groupBy(F.col("text").alias("query")).agg(
+        F.collect_set("parent_doc_id").alias("relevant_doc_ids"))
+    return R.evaluate_text_retrieval(key, index, 3)
 
 
 @_query
 def q_text_topk(spark, d):
     """Best chunks for every benchmark passage."""
-    index, model = text_index(spark, d)
-    asked = R.vectorize_text(table(spark, d, "benchmark"), model, width=X.WIDTH)
-    return R.retrieve(asked, index, 3, query_id="item_id", carry=["parent_doc_id"]).select(
-        "query_id", "chunk_id", "parent_doc_id", "score", "rank")
+    return PO.search_postings(table(spark, d, "benchmark"), text_index(spark, d), 3, key="item_id",
+                              carry=["parent_doc_id"]).select("query_id", "chunk_id", "parent_doc_id", "score", "rank")
 
 
 @_query
 def q_known_item(spark, d):
     """Precision and recall when each document is asked for by its first sentence."""
-    index, model = text_index(spark, d)
-    first = index.filter(F.col("chunk_id").endswith("__0"))
-    asked = first.select(F.col("parent_doc_id").alias("query_id"), "vector")
-    got = R.retrieve_documents(asked, index, 3, carry=["parent_doc_id"]).select(
-        "query_id", F.col("parent_doc_id").alias("doc"))
+    index = text_index(spark, d)
+    asked = first_sentences(index).select(F.col("parent_doc_id").alias("query_id"), "text")
+    hits = PO.search_postings(asked, index, 3, carry=["parent_doc_id"])
+    got = R.best_per_document(hits).select("query_id", F.col("parent_doc_id").alias("doc"))
     relevant = asked.select("query_id", F.col("query_id").alias("doc"))
     return R.precision_recall(got, relevant)
 
@@ -628,10 +629,8 @@ def answered_turns(spark, d) -> DataFrame:
 
     turns = stored(screened_turns(spark, d).withColumn(
         "turn_key", F.concat_ws(":", "conv_id", "turn")), "turns")
-    index, model = text_index(spark, d)
-    asked = R.vectorize_text(turns.filter(F.col("route") == "retrieve"), model,
-                             text="user_input", width=X.WIDTH)
-    hits = R.retrieve(asked, index, 3, query_id="turn_key", carry=["text"])
+    asked = turns.filter(F.col("route") == "retrieve").select("turn_key", "user_input")
+    hits = PO.search_postings(asked, text_index(spark, d), 3, key="turn_key", text="user_input", carry=["text"])
     orders = with_bucket(scored(spark, d), "p", 0.25).select(
         F.col("order_id").alias("risk_key"), "return_probability", "risk_bucket", "cut_points")
     images = predict_class(_probs(spark, d), CLASS_NAMES).select(

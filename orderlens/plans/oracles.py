@@ -398,21 +398,21 @@ chunk_tf AS ({_slots('chunks', 'chunk_id', 'text')}),
 idf AS (
   SELECT slot, ln(((SELECT count(*) FROM chunks) + 1)::DOUBLE / (count(*) + 1)) AS w
   FROM chunk_tf GROUP BY slot),
-chunk_raw AS (SELECT chunk_id, slot, tf * w AS x FROM chunk_tf JOIN idf USING (slot)),
+chunk_raw AS (SELECT chunk_id, slot, tf * w AS x FROM chunk_tf JOIN idf USING (slot) WHERE w > 0),
 chunk_vec AS (
   SELECT chunk_id, slot, x / sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS x FROM chunk_raw)"""
 
 
 def _search(source: str, key: str, text: str) -> str:
-    """Top three chunks for every row of `source`; a query without known words still has hits."""
+    """Top three chunks for every row of `source`; a chunk without a shared word is no hit."""
     return f"""
 query_tf AS ({_slots(source, key, text)}),
-query_raw AS (SELECT {key}, slot, tf * w AS x FROM query_tf JOIN idf USING (slot)),
+query_raw AS (SELECT {key}, slot, tf * w AS x FROM query_tf JOIN idf USING (slot) WHERE w > 0),
 query_vec AS (
   SELECT {key}, slot, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x FROM query_raw),
 matches AS (
   SELECT q.{key} AS query_id, c.chunk_id, round(sum(q.x * c.x), 6) AS score
-  FROM query_vec q JOIN chunk_vec c USING (slot) GROUP BY 1, 2),
+  FROM query_vec q JOIN chunk_vec c USING (slot) GROUP BY 1, 2 HAVING round(sum(q.x * c.x), 6) > 0),
 found AS (SELECT m.*, c.parent_doc_id, c.text FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
   FROM matches) m JOIN chunks c ON c.chunk_id = m.chunk_id WHERE rank <= 3)"""

@@ -5,7 +5,7 @@ from ..sources.risk_orders import COD_VALUE, FIT_CATEGORIES, MISSING_RATES, PRIC
 DECISION = 0.5          # default decision threshold
 SUBGROUP_DECISION = 0.3  # the stand-in scores seldom reach 0.5
 SEED = 42
-WIDTH = 256
+WIDTH = 1 << 30         # slots of words
 CLASSES = 10
 DIMENSIONS = 64         # of the vectors in the embedding table
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)  # fixed values
