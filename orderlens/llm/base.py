@@ -38,17 +38,13 @@ def release(*frames: DataFrame) -> None:
         frame.sparkSession.createDataFrame([], frame.schema).write.mode("overwrite").parquet(frame.stored_at)
 
 
-
-
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     return F.when(kept == "", 0).otherwise(F.size(F.split(kept, GAP))).cast("long")
 
 

@@ -10,92 +10,99 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .base import mix, slices, stored
 
 BLANK = " \t\n\x0b\x0c\r"
+STEP = np.uint64(0x9E3779B97F4A7C15)  # any odd number: multiplier of the hash of a chunk
 
 
-def chunk_ends(hashes: np.ndarray, window: int, modulus: int, least: int, most: int) -> list[int]:
-    """Ends of content-defined chunks over a document's line hashes.
+def line_hashes(lines: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
 
-    A border follows a line where the hash of the last `window` line hashes is 0 modulo `modulus`,
-    provided the chunk has `least` lines; a chunk ends after `most` lines in any case. An inserted or
-    removed line moves the borders near it only.
+
+def chunk_spans(hashes: np.ndarray, modulus: int, residues: tuple[int, ...], most: int) -> tuple[np.ndarray, ...]:
+    """(first line, last line, residue) of a document's content-defined chunks of two lines or more.
+
+    A rolling hash over two line hashes is taken behind every line. For each residue, a border follows
+    the lines where it has that residue, and every line opens a chunk that ends at the next border (none,
+    if that is more than `most` lines away). A chunk depends on its own lines alone, so the same lines
+    make the same chunks whatever stands around them; and since every rolling hash has some residue,
+    all residues together find every repeated passage of two lines or more.
     """
     n = len(hashes)
-    if n <= least:
-        return [n]
-    cut = np.zeros(n, bool)
-    if n >= window:
-        rolling = mix(*[hashes[i:n - window + 1 + i] for i in range(window)])
-        cut[window - 1:] = rolling % np.uint64(modulus) == 0
-    ends, start = [], 0
-    for at in np.flatnonzero(cut).tolist():
-        while at + 1 - start > most:
-            start += most
-            ends.append(start)
-        if at + 1 - start >= least and n - (at + 1) >= least:
-            start = at + 1
-            ends.append(start)
-    while n - start > most + least:
-        start += most
-        ends.append(start)
-    return [*ends, n]
-
-
-def chunks_of(text: str, shape: tuple) -> list[tuple[int, int, str]]:
-    """(first line, number of lines, chunk text) of each chunk of a text; with window 0, every run of `least` lines."""
+    if n < 2:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    rolling = mix(hashes[:-1], hashes[1:]) % np.uint64(modulus)  # behind lines 1, 2, ...
+    firsts, lasts, kinds = [], [], []
+    for residue in residues:
+        borders = np.flatnonzero(rolling == residue) + 1
+        opens = np.arange(int(borders[-1]) if len(borders) else 0)
+        ends = borders[np.searchsorted(borders, opens + 1)] if len(borders) else opens
+        near = ends - opens < most
+        firsts.append(opens[near])
+        lasts.append(ends[near])
+        kinds.append(np.full(int(near.sum()), residue))
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(kinds)
+
+
+def chunk_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One hash per chunk from the hashes of its lines and their order."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), STEP))), dtype=np.uint64)
+        before = np.zeros(len(hashes) + 1, np.uint64)
+        # sum of h[i] * STEP^i, scaled so that equal chunks at different places agree
+        np.cumsum(hashes * powers[:-1], out=before[1:], dtype=np.uint64)
+        inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
+        back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), inverse))), dtype=np.uint64)
+        return mix((before[last + 1] - before[first]) * back[first], last - first)
+
+
+def chunks_of(text: str, shape: tuple) -> list[tuple[int, int, int, int]]:
+    """(first line, last line, residue, hash) of every chunk of a text that has a visible character."""
     lines = text.split("\n")
-    if shape[0] == 0:
-        size = shape[2]
-        return [(i, size, "\n".join(lines[i:i + size])) for i in range(len(lines) - size + 1)]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-    out, start = [], 0
-    for end in chunk_ends(hashes, *shape):
-        out.append((start, end - start, "\n".join(lines[start:end])))
-        start = end
-    return out
-
-
-def _multi(chunk: str, n: int, least: int) -> bool:
-    return n >= least and bool(chunk.strip(BLANK))
-
-
-def _long(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+    hashes = line_hashes(lines)
+    first, last, kind = chunk_spans(hashes, *shape)
+    if not len(first):
+        return []
+    seen = np.concatenate(([0], np.cumsum([bool(x.strip(BLANK)) for x in lines])))
+    shown = seen[last + 1] > seen[first]
+    first, last, kind = first[shown], last[shown], kind[shown]
+    return list(zip(first.tolist(), last.tolist(), kind.tolist(), chunk_hashes(hashes, first, last).astype(np.int64).tolist()))
 
 
 def _keys(shape: tuple):
     def run(batches):
         for batch in slices(batches, "text"):
-            rows: list[list[int]] = [[], [], []]
+            rows: list[list[int]] = [[], [], [], []]
             for at, text in enumerate(batch.column("text").to_pylist()):
-                for index, (_, n, chunk) in enumerate(chunks_of(text or "", shape)):
-                    if _multi(chunk, n, shape[2]):
-                        rows[0].append(at)
-                        rows[1].append(index)
-                        rows[2].append(_long(xxhash.xxh3_64_intdigest(chunk)))
+                if text and "\n" in text:
+                    for first, _, kind, hashed in chunks_of(text, shape):
+                        for column, value in zip(rows, (at, first, kind, hashed)):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
-                 pa.array(rows[2], pa.int64())], names=["doc_id", "chunk", "hash"])
+                 pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["doc_id", "line", "kind", "hash"])
     return run
 
 
 def _texts(shape: tuple):
-    """The wanted chunks' texts; `wanted` lists (chunk, hash, first)."""
+    """The wanted chunks' texts; `wanted` lists (line, kind, hash, first)."""
     def run(batches):
         for batch in slices(batches, "text"):
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for at, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(),
                                                     batch.column("wanted").to_pylist())):
-                found = chunks_of(text or "", shape)
+                lines = (text or "").split("\n")
+                ends = {(first, kind, hashed): last for first, last, kind, hashed in chunks_of(text or "", shape)}
                 for w in wanted:
-                    if w["chunk"] < len(found) and \
-                            _long(xxhash.xxh3_64_intdigest(found[w["chunk"]][2])) == w["hash"]:
-                        for column, value in zip(rows, (at, w["chunk"], w["hash"], w["first"],
-                                                        found[w["chunk"]][2])):
+                    last = ends.get((w["line"], w["kind"], w["hash"]))
+                    if last is not None:
+                        for column, value in zip(rows, (at, w["line"], w["kind"], w["hash"], w["first"],
+                                                        "\n".join(lines[w["line"]:last + 1]))):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
-                 pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.bool_()), pa.array(rows[4], pa.string())],
-                names=["doc_id", "chunk", "hash", "first", "bytes"])
+                 pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.bool_()),
+                 pa.array(rows[5], pa.string())],
+                names=["doc_id", "line", "kind", "hash", "first", "bytes"])
     return run
 
 
@@ -109,18 +116,22 @@ def _clean(shape: tuple):
                     kept.append(text)
                     gone.append(0)
                     continue
+                lines = (text or "").split("\n")
+                out = {(d["line"], d["kind"], d["hash"]) for d in drop}
                 found = chunks_of(text or "", shape)
-                out = {(d["chunk"], d["hash"]) for d in drop}
-                drop_at = {i for i, (_, _, c) in enumerate(found)
-                           if (i, _long(xxhash.xxh3_64_intdigest(c))) in out}
+                # lines of an equal chunk that stays in this text are not removed by a later one over them
+                stays = {}
+                for first, last, kind, hashed in found:
+                    if (first, kind, hashed) not in out:
+                        stays.setdefault((kind, hashed), []).append((first, last))
                 away = set()
-                for i in drop_at:
-                    first, n, chunk = found[i]
-                    # a run that starts inside an equal one which stays leaves the shared lines there
-                    inside = next((j for j in range(max(0, i - n + 1), i) if shape[0] == 0
-                                   and j not in drop_at and found[j][2] == chunk), None)
-                    away.update(range(first if inside is None else inside + n, first + n))
-                lines = (text or "").split("\n")
+                for first, last, kind, hashed in found:
+                    if (first, kind, hashed) in out:
+                        start = first
+                        for a, b in stays.get((kind, hashed), ()):
+                            if a < first <= b and lines[a:b + 1] == lines[first:last + 1]:
+                                start = max(start, b + 1)
+                        away.update(range(start, last + 1))
                 kept.append("\n".join(x for i, x in enumerate(lines) if i not in away))
                 gone.append(len(away))
             columns = [batch.column(n) for n in batch.schema.names if n not in ("text", "drop")]
@@ -134,41 +145,40 @@ def _clean(shape: tuple):
 def repeated_chunks(rows: DataFrame, shape: tuple) -> DataFrame:
     """(doc_id, drop): the chunks of each document that repeat an earlier chunk, byte for byte."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    keys = stored(rows.mapInArrow(_keys(shape), f"doc_id {kind}, chunk int, hash long"), "chunks")
-    group = keys.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk")).alias("head"))
+    keys = stored(rows.mapInArrow(_keys(shape), f"doc_id {kind}, line int, kind int, hash long"), "chunks")
+    group = keys.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("head"))
     again = keys.join(group.filter("n > 1"), "hash").select(
-        "doc_id", "chunk", "hash",
-        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("chunk") == F.col("head.chunk"))).alias("first"))
-    wanted = again.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "hash", "first")).alias("wanted"))
+        "doc_id", "line", "kind", "hash",
+        (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line") == F.col("head.line"))).alias("first"))
+    wanted = again.groupBy("doc_id").agg(F.collect_set(F.struct("line", "kind", "hash", "first")).alias("wanted"))
     joined = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id")) \
         .select("r.doc_id", "r.text", "w.wanted")
-    texts = stored(joined.mapInArrow(_texts(shape), f"doc_id {kind}, chunk int, hash long, first boolean, bytes string"),
-                   "chunk-texts")
+    texts = stored(joined.mapInArrow(
+        _texts(shape), f"doc_id {kind}, line int, kind int, hash long, first boolean, bytes string"), "chunk-texts")
     heads = texts.filter("first").groupBy("hash").agg(F.min("bytes").alias("head"))
     same = texts.filter("not first").join(heads, "hash").filter(F.col("bytes") == F.col("head"))
-    return same.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "hash")).alias("drop"))
+    return same.groupBy("doc_id").agg(F.collect_set(F.struct("line", "kind", "hash")).alias("drop"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2,
-               modulus: int = 2, least: int = 2, most: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 2,
+               residues: tuple[int, ...] | None = None, most: int = 16) -> DataFrame:
     """All columns of `docs` with the cleaned text, then `n_lines` and `n_removed` (lines removed).
 
-    Lines (parts between `\\n`) form content-defined chunks of `least` to about `most` lines. Of
-    chunks of at least two lines that occur more than once anywhere, the occurrence with the smallest
-    (id, position) stays and the others go, once their bytes are found equal to it. Only hashes of
+    Lines (parts between `\\n`) form content-defined chunks of two to `most` lines, see `chunk_spans`. Of
+    chunks that occur more than once anywhere, the occurrence with the smallest (id, position) stays and
+    the lines of the others go, once their bytes are found equal to it. With all residues (the default)
+    every repeated passage of two lines or more is found wherever it stands; fewer residues hash less
+    and find a passage of n lines with a chance of 1 - (1 - residues / modulus) ** (n - 1). Only hashes of
     all chunks are shuffled; texts of repeated chunks are fetched for the comparison. A chunk that a
     third of all documents share is counted before the shuffle.
 
-    With `window` 0 the chunks are instead all runs of `least` lines, which overlap, so every repeated
-    passage of so many lines is found wherever it stands; lines that any repeated run covers go.
-
     Defined cases: a null text stays null with 0 lines; an empty text has one empty line; chunks
     without a visible character are never removed; rows that repeat an id are cleaned by the union of
     that id's findings, and rows that repeat id and text count as one document (so copies under one
     id stay); null ids are one id, the smallest; a text of any length is cut whole; if `docs` has
     columns named like the results, the results replace them.
     """
-    shape = (window, modulus, least, most)
+    shape = (modulus, tuple(range(modulus)) if residues is None else tuple(residues), most)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     drop = repeated_chunks(rows, shape)
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]

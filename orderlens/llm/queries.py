@@ -21,12 +21,12 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = lines.line_dedup(read(spark, folder, "documents"), window=0)
+    done = lines.line_dedup(read(spark, folder, "documents"))
     return done.select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)).toDF("host", "path", "verdict")
     return urls.url_filter(read(spark, folder, "pages"), rules)
 
 

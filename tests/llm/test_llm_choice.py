@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_helpers import WORD, components, edge_documents
 from pyspark.sql import functions as F
-from test_llm_text_stages import check_packing, first_lines_stay
+from test_llm_text_stages import check_packing, repeated_lines_go
 
 import corpus_pipeline
 from orderlens.llm import mix, permutation, quality, urls
@@ -197,7 +197,7 @@ def test_pipeline_stages_equal_brute_force(spark, sf):
     scored = {r.doc_id: r.predicted for r in quality.quality_classifier(docs, read(spark, sf, "labels")).collect()}
     kept = stored(stages["quality"](spark, docs, sf), "t1")
     assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t in texts.items() if scored[i]}
-    want = {i: t for i, t in first_lines_stay({i: t for i, t in texts.items() if scored[i]}).items()
+    want = {i: t for i, t in repeated_lines_go({i: t for i, t in texts.items() if scored[i]}).items()
             if t == texts[i] or WORD.search(t)}
     cleaned = stored(stages["lines"](spark, kept, sf), "t2")
     assert {r.doc_id: (r.text, r.n_chars) for r in cleaned.collect()} == {i: (t, len(t)) for i, t in want.items()}
@@ -226,3 +226,22 @@ def test_pipeline_stages_take_edge_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, sf), name)
         docs.count()
+
+
+def test_pipeline_decides_by_rows_not_ids(spark, sf):
+    """Copies under one id, without an id, and one id with two texts."""
+    rng = np.random.default_rng(5)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(5)]
+    shared = "\n".join(" ".join(f"s{x}" for x in rng.integers(0, 10**6, 20)) for _ in range(3))
+    rows = [(3, text[0]), (3, text[0]), (None, text[0]), (None, text[1]), (None, text[1]), (4, text[2]), (5, text[2]),
+            (5, text[3]), (6, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, stored(docs, "t5"), sf).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("3", text[0]), ("None", text[1]), ("4", text[2]), ("5", text[3]), ("6", text[4])])
+    lined = spark.createDataFrame([(i, f"{t}\n{shared}", "en", "a", 0) for i, t in
+                                   [(7, text[0]), (7, text[1]), (None, text[2]), (None, text[3]), (8, text[4])]], docs.schema)
+    got = {r.text for r in stages["lines"](spark, stored(lined, "t6"), sf).collect()}
+    assert sum(shared in t for t in got) == 1 and {t.split("\n")[0] for t in got} == set(text)

@@ -10,42 +10,33 @@ from orderlens.llm import hosts, lines, pack, spans
 from orderlens.llm.base import n_words, read
 from orderlens.llm.queries import op3_line_dedup, op6_pack, op7_span_dedup, op8_host_rules, tokenizer_path
 
-SHAPE = (2, 2, 2, 16)
-
-
-def first_lines_stay(texts):
-    seen, out = set(), {}
-    for key in sorted(texts):
-        kept = []
-        for _, n, chunk in lines.chunks_of(texts[key], SHAPE):
-            if n >= 2 and chunk.strip(lines.BLANK):
-                if chunk in seen:
-                    continue
-                seen.add(chunk)
-            kept.append(chunk)
-        out[key] = "\n".join(kept)
-    return out
+SHAPE = (2, (0, 1), 16)
 
 
 def test_line_dedup_equals_brute_force(spark, sf):
     docs = read(spark, sf, "documents")
-    want = first_lines_stay({r.doc_id: r.text for r in docs.collect()})
+    want = repeated_lines_go({r.doc_id: r.text for r in docs.collect()})
     rows = lines.line_dedup(docs).collect()
     assert {r.doc_id: r.text for r in rows} == want
     assert sum(r.n_removed for r in rows) > 0
 
 
-def test_chunks_cover_the_text_and_resist_shifts():
+def test_chunks_depend_on_their_own_lines_only():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 3, 30, 400):
-        text = "\n".join(str(x) for x in rng.integers(0, 50, n))
-        found = lines.chunks_of(text, SHAPE)
-        assert "\n".join(c for _, _, c in found) == text
-        assert all(size >= 2 for _, size, _ in found) or n < 2
     body = [f"line {x}" for x in rng.integers(0, 10**6, 200)]
-    one = {c for _, _, c in lines.chunks_of("\n".join(body), SHAPE)}
-    two = {c for _, _, c in lines.chunks_of("\n".join(["new", *body]), SHAPE)}
-    assert len(one & two) > 0.9 * len(one)
+
+    def found(rows, shape=SHAPE):
+        return {("\n".join(rows[a:b + 1]), kind, hashed) for a, b, kind, hashed in lines.chunks_of("\n".join(rows), shape)}
+    whole = found(body)
+    for skip in (1, 2, 7):
+        assert found(["new", *body]) >= whole and found(body[skip:]) <= whole
+        assert found(body[:-skip]) <= whole
+    texts = {t for t, _, _ in whole}
+    assert {"\n".join(body[i:i + 2]) for i in range(199)} <= texts  # all residues: every pair is a chunk
+    assert any(t.count("\n") > 3 for t in texts) and all(1 <= t.count("\n") < 16 for t in texts)
+    assert len(found(body, (2, (0,), 16))) < 0.7 * len(whole)
+    assert len({h for _, _, h in whole}) == len(whole)
+    assert lines.chunks_of("", SHAPE) == lines.chunks_of("one line", SHAPE) == lines.chunks_of("\n \n\t", SHAPE) == []
 
 
 def test_different_bytes_under_one_hash_stay(spark, monkeypatch):
@@ -269,5 +260,8 @@ def test_rules_of_edge_rows(spark):
 
 
 def test_word_counts_in_the_jvm(spark):
+    odd = ["abc \u2028", "abc def\n\u2029", "a\u0085", "\u0085 b \u0085\n", " \u2028 ", "x\r\n", "\n\u2029\n", "a\x1c b\x1f"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", n_words(F.col("text")).alias("n"))
+    assert {r.text: r.n for r in rows.collect()} == {t: len(WORD.findall(t)) for t in odd}
     got = edge_documents(spark).select("text", n_words(F.col("text")).alias("n_found")).collect()
     assert all(r.n_found == len(WORD.findall(r.text or "")) for r in got)
