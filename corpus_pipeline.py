@@ -14,18 +14,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs, read(spark, sf_dir, "labels"))
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Adds `row_key`, a number per row. Stages read written tables, whose rows keep it on every reading."""
+    return docs.withColumn("row_key", F.monotonically_increasing_id())
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks are cut out; a document of which no word is left goes."""
-    done = lines.line_dedup(docs, window=0)
+    """Repeated line chunks are cut out, the row with the smallest id keeps them; a document of which no
+    word is left goes. Rows that share an id, or have none, are documents of their own."""
+    keyed = with_row_key(docs).withColumn("row_key", F.struct("doc_id", "row_key"))
+    done = lines.line_dedup(keyed, id_col="row_key")
     done = done.filter((F.col("n_removed") == 0) | (n_words(F.col("text")) > 0))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8) the smallest id stays."""
-    found = jaccard.jaccard_components(docs, shingle=5, percent=80)
-    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, 0.8) one row stays: the smallest id, null last."""
+    keyed = with_row_key(docs)
+    found = jaccard.jaccard_components(keyed, id_col="row_key", shingle=5, percent=80)
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    members = stored(found.join(groups, "component_id").select(F.col("doc_id").alias("row_key"), "component_id"), "copies")
+    named = keyed.select("row_key", "doc_id").join(members, "row_key")
+    first = F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    stays = named.groupBy("component_id").agg(first.alias("row_key")).select("row_key")
+    gone = members.join(stays, "row_key", "left_anti").select("row_key")
+    return keyed.join(gone, "row_key", "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
