@@ -7,16 +7,16 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import argmax, class_name, cut_points, risk_bucket, round_to
 from ..schemas import TARGET
-from .metrics import balanced_weights, majority_class
+from ..session import work_dir
+from .metrics import balanced_weights, majority_class, roc_auc
 from .prep import OrderPrep
 
 MAX_DEPTH = 30  # the deepest tree MLlib grows; stands in for "unlimited"
@@ -59,40 +59,96 @@ def fit_forest(train: DataFrame, label: str = TARGET, features: str = "features"
     return forest(label, features, trees, depth, seed).fit(with_class_weights(train, label))
 
 
-def grid_search(train: DataFrame, *, label: str = TARGET, fold_col: str = "fold", k: int = 5,
-                trees=(100, 200), depths=(6, 10, None), prep: OrderPrep | None = None,
-                parallelism: int = 2, seed: int = 42):
-    """Cross-validated forest grid by ROC-AUC; returns (best pipeline, rows of fold averages).
+def fold_areas(scores: DataFrame, by=("position", "fold"), label: str = "label", score: str = "score") -> DataFrame:
+    """The exact area of every candidate in every fold, from one scan of (position, fold, label, score)."""
+    return roc_auc(scores, label, score, by=list(by))
 
-    Every fold fits its own preparation, once for the whole grid. `fold_col` holds 0..k-1, for
-    example from `stratified_folds`; the best pipeline (the first one on ties) is refitted on all of
-    `train`. `parallelism` forests are grown at a time.
+
+def cross_validated(areas: DataFrame, grid: DataFrame) -> DataFrame:
+    """Grid rows with `cv_auc`, the mean area over the folds (those with both classes)."""
+    means = areas.groupBy("position").agg(F.avg("auc").alias("cv_auc"))
+    return grid.join(means, "position")
+
+
+class GridSearch:
+    """Cross-validated forest grid by ROC-AUC, stored step by step below `path` and resumable.
+
+    `path/learn` and `path/held` hold each fold's prepared rows, once for the whole grid; `path/scores`
+    gets the held-out scores of one (fold, grid point) at a time, and `path/model` the chosen pipeline,
+    refitted on all rows. A step that is stored is not run again, so a search that was interrupted goes
+    on where it stopped. The areas of all candidates come from one scan of the scores.
     """
-    stage, prep = forest(label, seed=seed), prep or OrderPrep()
-    grid = (ParamGridBuilder().addGrid(stage.numTrees, list(trees))
-            .addGrid(stage.maxDepth, [MAX_DEPTH if d is None else d for d in depths]).build())
-    metric = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    data = with_class_weights(train, label)
-    columns = [label, stage.getWeightCol(), stage.getFeaturesCol()]
-    totals = [0.0] * len(grid)
-    for fold in range(k):
-        held = F.col(fold_col) == fold
-        fitted = prep.fit(data.filter(~held))
-        learn, test = (fitted.transform(data.filter(c)).select(*columns).persist() for c in (~held, held))
-        with ThreadPool(parallelism) as pool:
-            scores = pool.map(lambda g: metric.evaluate(stage.fit(learn, g).transform(test)), grid)
-        totals = [t + score for t, score in zip(totals, scores)]
-        learn.unpersist()
-        test.unpersist()
-    averages = [t / k for t in totals]
-    chosen = grid[averages.index(max(averages))]
-    whole = prep.fit(data)
-    best = PipelineModel(stages=[whole, stage.fit(whole.transform(data), chosen)])
-    rows = [(i, int(g[stage.numTrees]), int(g[stage.maxDepth]), float(score))
-            for i, (g, score) in enumerate(zip(grid, averages))]
-    table = train.sparkSession.createDataFrame(
-        rows, "position int, trees int, depth int, cv_auc double")
-    return best, table
+
+    def __init__(self, path: str, *, label: str = TARGET, fold_col: str = "fold", k: int = 5, trees=(100, 200),
+                 depths=(6, 10, None), prep: OrderPrep | None = None, parallelism: int = 3, seed: int = 42):
+        self.path, self.label, self.fold_col, self.k, self.seed = path, label, fold_col, k, seed
+        self.grid = [(t, MAX_DEPTH if d is None else d) for t in trees for d in depths]
+        self.prep, self.parallelism = prep or OrderPrep(), parallelism
+
+    def _read(self, spark, name: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException:  # nothing stored yet
+            return None
+
+    def _fold(self, data: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+        """The fold's rows as features, prepared by what the other folds say."""
+        spark = data.sparkSession
+        names = [f"learn/fold={fold}", f"held/fold={fold}"]
+        parts = [self._read(spark, n) for n in names]
+        if None in parts:
+            held = F.col(self.fold_col) == fold
+            fitted = self.prep.fit(data.filter(~held))
+            for name, rows in zip(names, (data.filter(~held), data.filter(held))):
+                fitted.transform(rows).select(self.label, "weight", "features").write.mode("overwrite").parquet(
+                    f"{self.path}/{name}")
+            parts = [self._read(spark, n) for n in names]
+        return parts[0], parts[1]
+
+    def _score(self, learn: DataFrame, held: DataFrame, fold: int, position: int) -> None:
+        trees, depth = self.grid[position]
+        model = forest(self.label, trees=trees, depth=depth, seed=self.seed).fit(learn)
+        model.transform(held).select(F.col(self.label).alias("label"), probability().alias("score")).write.mode(
+            "overwrite").parquet(f"{self.path}/scores/fold={fold}/position={position}")
+
+    def areas(self, train: DataFrame) -> DataFrame:
+        """(position, fold, auc) of all candidates; runs what is not stored."""
+        data = with_class_weights(train, self.label)
+        stored = self._read(train.sparkSession, "scores")
+        done = set() if stored is None else {(r["fold"], r["position"]) for r in stored.select(
+            "fold", "position").distinct().collect()}  # at most folds x grid points
+        for fold in range(self.k):
+            todo = [p for p in range(len(self.grid)) if (fold, p) not in done]
+            if todo:
+                learn, held = self._fold(data, fold)
+                with ThreadPool(self.parallelism) as pool:
+                    pool.map(lambda p: self._score(learn, held, fold, p), todo)
+        return fold_areas(self._read(train.sparkSession, "scores"))
+
+    def table(self, train: DataFrame) -> DataFrame:
+        """(position, trees, depth, cv_auc)."""
+        rows = [(i, t, d) for i, (t, d) in enumerate(self.grid)]
+        return cross_validated(self.areas(train), train.sparkSession.createDataFrame(
+            rows, "position int, trees int, depth int"))
+
+    def run(self, train: DataFrame) -> tuple[PipelineModel, DataFrame]:
+        """The chosen pipeline (the first one on ties) and the table of fold averages."""
+        table = self.table(train)
+        stored = self._read(train.sparkSession, "model/metadata")  # written last
+        if stored is None:
+            best = best_params(table).first()
+            data = with_class_weights(train, self.label)
+            whole = self.prep.fit(data)
+            model = forest(self.label, trees=best["trees"], depth=best["depth"], seed=self.seed).fit(whole.transform(data))
+            PipelineModel(stages=[whole, model]).write().overwrite().save(f"{self.path}/model/pipeline")
+            train.sparkSession.createDataFrame([(best["position"],)], "position int").write.mode(
+                "overwrite").parquet(f"{self.path}/model/metadata")
+        return PipelineModel.load(f"{self.path}/model/pipeline"), table
+
+
+def grid_search(train: DataFrame, path: str | None = None, **options) -> tuple[PipelineModel, DataFrame]:
+    """Best pipeline and rows of fold averages; see `GridSearch`. Without a path, a fresh work folder."""
+    return GridSearch(path or work_dir(train.sparkSession, "search"), **options).run(train)
 
 
 def best_params(table: DataFrame) -> DataFrame:

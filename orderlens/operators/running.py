@@ -4,6 +4,10 @@ A plain window puts all rows of one key into one task. Here a key's rows are cut
 buckets: each bucket is reduced to one small row (partial aggregation runs before the shuffle),
 the per-bucket results are accumulated in bucket order, and the row-level window runs inside one
 bucket only. The result equals the plain window over the whole key.
+
+Buckets may be given (a hash prefix, say) or found: `range_pieces` sorts rows by key and order into
+pieces whose borders come from a sample, so they hold about equally many rows whatever the values
+are: one key, one day, nulls or sparse 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -14,8 +18,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 HOT_ROWS = 1_000_000
 HOT_SAMPLE = 1_000
+PIECE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -52,8 +59,8 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame | N
     One counting job over the key column. It only steers how a window is planned, never what it
     returns, so for large limits the keys are counted on a sample (about 1,000 rows for a key at
     the limit; half of that counts as hot) and the shuffle stays a thousandth of the table. Small
-    limits are counted exactly. At most (rows / (min_rows / 2)) keys come back, which is what makes
-    the result small enough to collect and broadcast.
+    limits are counted exactly. The keys stay a stored table: their number is not bounded, and a join
+    with them is planned by the table's size.
     """
     share = min(1.0, HOT_SAMPLE / min_rows)
     limit = min_rows if share == 1.0 else min_rows * share / 2
@@ -61,14 +68,19 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame | N
     if share < 1.0:
         seen = seen.sample(share, seed=17)
     counts = seen.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.filter(F.col("_n") > F.lit(limit)).select(key)
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    found = _stored(counts.filter(F.col("_n") > F.lit(limit)).select(key), "hot-keys")
+    return found if found.take(1) else None
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_bucket(df: DataFrame, key: str, bucket: Column, hot: DataFrame) -> DataFrame:
     """Adds `_bucket`: the given bucket for hot keys, null (one bucket) for all others."""
-    marked = F.broadcast(hot.select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot")))
+    marked = hot.select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot"))
     joined = df.join(marked, F.col(key).eqNullSafe(F.col("_hot")), "left")
     return joined.withColumn("_bucket", F.when(F.col("_is_hot"), bucket)).drop("_hot", "_is_hot")
 
@@ -128,12 +140,39 @@ def ranked(df: DataFrame, keys: list[str], order: list, bucket: Column, name: st
                    {name: Running("count", F.lit(1), inclusive=True, default=0)})
 
 
-def day_bucket(day: Column, key: Column, span: int = 100_000) -> Column:
-    """A bucket that never decreases along (day, key): a day, cut every `span` keys.
+def range_pieces(df: DataFrame, keys: list[str], order: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The rows as a stored table with `_bucket`, the number of a piece of about `piece_rows` rows.
 
-    A day with very many rows is several buckets, so their number grows with the table.
+    Pieces are ranges of (keys, order) with borders from a sample, so they follow each other along the
+    order of every key, however its values are spread. Rows that agree in all of these share a piece.
     """
-    return F.struct(day.alias("day"), F.floor(key / F.lit(span)).alias("part"))
+    pieces = max(1, -(-df.count() // piece_rows))
+    dealt = df.repartitionByRange(pieces, *[F.col(c) for c in (*keys, *order)])
+    return _stored(dealt.withColumn("_bucket", F.spark_partition_id()), "pieces")
+
+
+def running_over(df: DataFrame, key: str, order: list[str], values: dict[str, Running], *, hot_rows: int = HOT_ROWS,
+                 piece_rows: int = PIECE_ROWS, seen: DataFrame | None = None) -> DataFrame:
+    """Adds running values over `key` in `order` (columns that tell a key's rows apart).
+
+    Keys of up to about `hot_rows` rows are one window each. The rows of all others are cut into
+    pieces first, so no task holds more than a piece of them. `seen` may name a cheaper table with the
+    same keys to count them on.
+    """
+    sorts = [F.col(c) for c in order]
+    hot = hot_keys((df if seen is None else seen).select(key), key, hot_rows)
+    if hot is None:
+        return plain_running(df, [key], sorts, values)
+    marked = _stored(hot_bucket(df, key, F.lit(True), hot).withColumnRenamed("_bucket", "_is_hot"), "marked")
+    cool = plain_running(marked.filter(F.col("_is_hot").isNull()).drop("_is_hot"), [key], sorts, values)
+    pieces = range_pieces(marked.filter("_is_hot").drop("_is_hot"), [key], order, piece_rows)
+    return cool.unionByName(running(pieces, [key], sorts, "_bucket", values))
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Adds 1, 2, ... over the whole table in `order`."""
+    return running(range_pieces(df, [], order, piece_rows), [], [F.col(c) for c in order], "_bucket",
+                   {name: Running("count", F.lit(1), inclusive=True, default=0)})
 
 
 def hash_prefix(hashed: Column, digits: int = 4) -> Column:
@@ -141,19 +180,11 @@ def hash_prefix(hashed: Column, digits: int = 4) -> Column:
     return F.substring(hashed, 1, digits)
 
 
-def carry_forward(df: DataFrame, key: str, order: str, values: dict[str, Column], *,
-                  span: int = 100_000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Last non-null value of each expression up to and including the row, per `key`.
-
-    `order` is an integer position. Keys with more than `hot_rows` rows are cut every `span`
-    positions.
-    """
+def carry_forward(df: DataFrame, key: str, order: str, values: dict[str, Column], *, hot_rows: int = HOT_ROWS,
+                  piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Last non-null value of each expression up to and including the row, per `key`; see `running_over`."""
     wanted = {name: Running("last", v, inclusive=True) for name, v in values.items()}
-    hot = hot_keys(df.select(key), key, hot_rows)
-    if hot is None:
-        return plain_running(df, [key], [F.col(order)], wanted)
-    bucketed = hot_bucket(df, key, F.floor(F.col(order) / F.lit(span)), hot)
-    return running(bucketed, [key], [F.col(order)], "_bucket", wanted)
+    return running_over(df, key, [order], wanted, hot_rows=hot_rows, piece_rows=piece_rows)
 
 
 def shuffle_column(df: DataFrame, key: str, columns: list[str], seed, repeat=0,

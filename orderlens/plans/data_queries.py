@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as L
+from ..operators import category_index as CI
 from ..operators import confusion as C
 from ..operators import metrics as M
 from ..operators import postings as PO
@@ -26,8 +27,8 @@ from ..session import work_dir
 from ..sources import files as FS
 from ..sources.risk_orders import line_distance, risk_orders
 from ..sources.tables import table
-from ..streaming import (read_stream, run_available, run_updates, stream_carry_context, stream_rates,
-                         stream_screen)
+from ..streaming import (carry_available, read_stream, run_available, run_updates, stream_carry_context,
+                         stream_rates, stream_screen)
 from . import settings as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,8 +139,7 @@ def q_customer_history(spark, d):
 def q_row_key(spark, d):
     """Sequential key 1..N in (date, order) sequence."""
     orders = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return RN.ranked(orders, [], [F.col("day"), F.col("o_orderkey")],
-                     RN.day_bucket(F.col("day"), F.col("o_orderkey")), "row_key").select("o_orderkey", "row_key")
+    return RN.row_numbers(orders, ["day", "o_orderkey"], "row_key").select("o_orderkey", "row_key")
 
 
 @_query
@@ -215,6 +215,16 @@ def q_prep_apply(spark, d):
         F.round(F.col(f"`{c}`"), 6).alias(c) for c in encoded.columns[2:]])
 
 
+@_query
+def q_category_slots(spark, d):
+    """Slots of priority and customer of every order, numbered on the training part."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.when(
+        F.col("o_custkey") % 7 != 0, F.col("o_custkey").cast("string")).alias("customer"))
+    prep = CI.IndexedPrep(work_dir(spark, "categories"), categorical=["priority", "customer"])
+    model = prep.fit(orders.filter(F.col("o_orderkey") % 3 != 0))
+    return model.indexed(orders).select("o_orderkey", "priority_slot", "customer_slot")
+
+
 # ---- evaluation of the fixed score ----------------------------------------------------------
 
 @_query
@@ -674,11 +684,10 @@ def q_stream_screen(spark, d):
 @_query
 def q_stream_carry(spark, d):
     screened = stream_screen(_turn_stream(spark, d), **PHRASES)
-    out = stream_carry_context(screened).select(
+    return carry_available(stream_carry_context(screened), "carry").select(
         "conv_id", "turn", F.col("session_order").cast("bigint").alias("session_order"),
         "session_image", F.col("resolved_order").cast("bigint").alias("resolved_order"),
         "resolved_image", "missing_context")
-    return run_available(out, "carry")
 
 
 @_query

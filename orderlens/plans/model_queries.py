@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import split as S
 from ..operators.prep import OrderPrep
-from ..session import work_dir
+from ..session import shared_dir, work_dir
 from ..sources import files as FS
 from ..sources.tables import table
 from ..streaming import run_available, stream_score
@@ -29,11 +29,18 @@ def _logistic_pipeline(rows):
     return PipelineModel(stages=[prep, model]), prep
 
 
-def _forest_pipeline(rows, trees=20, depth=5):
-    train = rows.filter(F.col("split") == "train")
-    prep = OrderPrep().fit(train)
-    model = MD.fit_forest(prep.transform(train), trees=trees, depth=depth)
-    return prep, model
+def searched_forest(spark, d):
+    """(rows with their split, chosen pipeline, table of fold averages) of the full search.
+
+    The search is kept under a name made from the rows and its parameters, so all queries that need the
+    chosen forest share one search, and an interrupted one goes on.
+    """
+    rows = split_orders(spark, d)
+    mark = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("h")).first()
+    search = MD.GridSearch("", k=5, trees=(100, 200), depths=(6, 10, None), seed=X.SEED)
+    search.path = shared_dir(spark, f"forest-{mark['n']}-{mark['h'] & (1 << 64) - 1:x}-5-100-200-6-10-30-{X.SEED}")
+    train = stored(S.stratified_folds(rows.filter(F.col("split") == "train"), "returned", "order_id", 5, X.SEED), "folds")
+    return (rows, *search.run(train))
 
 
 @_query
@@ -58,11 +65,8 @@ def m_majority(spark, d):
 
 @_query
 def m_forest_cv(spark, d):
-    """Fold averages of a small forest grid with preparation inside each fold."""
-    rows = split_orders(spark, d)
-    train = stored(S.stratified_folds(rows.filter(F.col("split") == "train"), "returned",
-                                      "order_id", 3, X.SEED), "folds")
-    best, grid = MD.grid_search(train, k=3, trees=(10, 20), depths=(3, 5))
+    """The best grid point by fold averages, and the area of its refitted pipeline on the test part."""
+    rows, best, grid = searched_forest(spark, d)
     test = best.transform(rows.filter(F.col("split") == "test")).select(
         "returned", MD.probability().alias("p"))
     auc = M.roc_auc(test, "returned", "p").first()["auc"]
@@ -71,11 +75,13 @@ def m_forest_cv(spark, d):
 
 @_query
 def m_impurity(spark, d):
-    prep, model = _forest_pipeline(split_orders(spark, d))
+    _, best, _ = searched_forest(spark, d)
+    prep, model = best.stages
     return I.impurity_importance(spark, model, prep.feature_names())
 
 
-def _permutation(rows, prep, model, repeats):
+def _permutation(rows, best, repeats):
+    prep, model = best.stages
     test = prep.transform(rows.filter(F.col("split") == "test"))
     return I.permutation_importance(model, test, prep.feature_names(), key="order_id",
                                     label="returned", repeats=repeats)
@@ -83,24 +89,22 @@ def _permutation(rows, prep, model, repeats):
 
 @_query
 def m_permutation(spark, d):
-    rows = split_orders(spark, d)
-    return _permutation(rows, *_forest_pipeline(rows), repeats=15)
+    rows, best, _ = searched_forest(spark, d)
+    return _permutation(rows, best, repeats=15)
 
 
 @_query
 def m_importance_comparison(spark, d):
-    rows = split_orders(spark, d)
-    prep, model = _forest_pipeline(rows)
+    rows, best, _ = searched_forest(spark, d)
+    prep, model = best.stages
     return I.importance_comparison(
-        I.impurity_importance(spark, model, prep.feature_names()),
-        _permutation(rows, prep, model, repeats=15))
+        I.impurity_importance(spark, model, prep.feature_names()), _permutation(rows, best, repeats=15))
 
 
 @_query
 def m_risk_scores(spark, d):
     """Probability, bucket and cut points per order; t* from the test part's sweep."""
-    rows = split_orders(spark, d)
-    model, _ = _logistic_pipeline(rows)
+    rows, model, _ = searched_forest(spark, d)
     test = model.transform(rows.filter(F.col("split") == "test")).select(
         "returned", MD.probability().alias("p"))
     t_star = M.best_threshold(M.threshold_sweep(test, "returned", "p")).first()["threshold"]
@@ -110,8 +114,7 @@ def m_risk_scores(spark, d):
 
 @_query
 def m_reload_parity(spark, d):
-    rows = split_orders(spark, d)
-    model, _ = _logistic_pipeline(rows)
+    rows, model, _ = searched_forest(spark, d)
     return FS.reload_parity(model, rows, work_dir(spark, "model"), "order_id")
 
 
@@ -162,8 +165,7 @@ def m_select_artifact(spark, d):
 @_query
 def m_stream_score(spark, d):
     """Orders written as files, scored as they arrive."""
-    rows = split_orders(spark, d)
-    model, _ = _logistic_pipeline(rows)
+    rows, model, _ = searched_forest(spark, d)
     folder = work_dir(spark, "arriving")
     rows.write.parquet(folder)
     arriving = spark.readStream.schema(rows.schema).parquet(folder)
@@ -185,6 +187,21 @@ def _fixed_permutation(spark, d):
         list(X.FIXED_WEIGHTS), key="order_id", label="returned", repeats=15)
 
 
+@_query
+def q_fold_areas_fixed(spark, d):
+    """Fold areas of stated scores, their averages and the best one; all from one scan."""
+    rows = S.stratified_folds(stored(scored(spark, d), "scored"), "returned", "order_id", 5, X.SEED)
+    parts = [sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
+             for weights in X.CANDIDATES]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), p.alias("score")) for i, p in enumerate(parts)]))
+    long = rows.select("fold", F.col("returned").alias("label"), each.alias("e")).select("fold", "label", "e.*")
+    grid = FS.inline_table(spark, [(i,) for i in range(len(parts))], "position int")
+    table = MD.cross_validated(MD.fold_areas(long), grid)
+    best = MD.best_params(table).select(F.col("position").alias("best"))
+    return table.crossJoin(best).select("position", F.round("cv_auc", 9).alias("cv_auc"),
+                                        (F.col("position") == F.col("best")).alias("chosen"))
+
+
 @_query
 def q_permutation_fixed(spark, d):
     """Mean and deviation of the area lost over 15 permutations of each column."""

@@ -712,6 +712,15 @@ FROM per_query"""
     fixed = f"{_SPLIT},{_FIXED}"
     out["q_permutation_fixed"] = _orders(
         "SELECT feature, round(m, 9) AS perm_importance_mean, round(s, 9) AS perm_importance_std FROM permuted", fixed)
+    candidates = ", ".join("(SELECT " + " + ".join(f"coalesce({c}::DOUBLE, 0) * {w!r}::DOUBLE" for c, w in ws.items()) + ")"
+                           for ws in X.CANDIDATES)
+    out["q_fold_areas_fixed"] = _orders(
+        "SELECT position, round(a, 9) AS cv_auc, row_number() OVER (ORDER BY a DESC, position) = 1 AS chosen FROM ("
+        "SELECT position, avg(auc) AS a FROM fold_areas GROUP BY position)",
+        _SPLIT + f""", long AS (
+  SELECT returned AS y, CAST(((rn - 1) * 5) // size AS INTEGER) AS fold,
+         CAST(unnest(range({len(X.CANDIDATES)})) AS INTEGER) AS position, unnest([{candidates}]) AS p FROM numbered),
+fold_areas AS ({_area('position, fold', 'long')})""")
     out["q_impurity_fixed"] = _orders(
         "SELECT feature, round(importance::DOUBLE, 9) AS importance, CASE feature " + " ".join(
             f"WHEN {_q(c)} THEN (SELECT avg(({c} IS NULL)::INT::DOUBLE) FROM scored)" for c in X.FIXED_WEIGHTS)
@@ -747,6 +756,17 @@ SELECT vec_id, label, CAST(arg_max(c, s) AS INTEGER) AS predicted FROM scores GR
         "ORDER BY count(*) DESC, 1 LIMIT 1), decided AS (SELECT returned AS y, m AS yes FROM parts, majority "
         f"WHERE split = 'test'), {_REPORT_OF}")
     out["m_reload_parity"] = "SELECT count(*) AS n_rows, 0.0::DOUBLE AS max_diff FROM orders"
+    out["q_category_slots"] = """
+WITH rows AS (SELECT o_orderkey, o_orderpriority AS priority,
+                     CASE WHEN o_custkey % 7 <> 0 THEN o_custkey::VARCHAR END AS customer FROM orders),
+train AS (SELECT * FROM rows WHERE o_orderkey % 3 <> 0),
+a AS (SELECT priority AS v, count(*) AS n, row_number() OVER (ORDER BY priority) - 1 AS slot FROM train
+      WHERE priority IS NOT NULL GROUP BY priority),
+b AS (SELECT customer AS v, count(*) AS n, row_number() OVER (ORDER BY customer) - 1 AS slot FROM train
+      WHERE customer IS NOT NULL GROUP BY customer)
+SELECT o_orderkey, a.slot AS priority_slot, b.slot AS customer_slot FROM rows
+LEFT JOIN a ON a.v = coalesce(priority, (SELECT v FROM a ORDER BY n DESC, v LIMIT 1))
+LEFT JOIN b ON b.v = coalesce(customer, (SELECT v FROM b ORDER BY n DESC, v LIMIT 1))"""
     out["q_stream_screen"] = out["q_route"]
     out["q_stream_carry"] = out["q_carry_context"]
     return out

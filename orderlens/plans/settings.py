@@ -14,6 +14,13 @@ CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)  # fixe
 FIXED_WEIGHTS = {"num_previous_returns": 0.25, "discount_pct": 0.0625, "delivery_days": 0.03125,
                  "is_weekend_order": 0.125}
 
+# weights of the stated scores that are compared by cross-validation
+CANDIDATES = [
+    {"num_previous_returns": 0.25, "discount_pct": 0.0625, "delivery_days": 0.03125},
+    {"num_previous_returns": 0.5, "is_weekend_order": 0.125},
+    {"discount_pct": 0.125, "delivery_days": 0.0625, "num_previous_orders": -0.03125},
+    {"delivery_days": 0.25}]
+
 # Phrases that occur in the conversation table (its texts never contain the default ones).
 INJECTION = ["worthl", "der die", "stion of", "que la ", "estha"]
 RISK = ["ing th", "tion de", "heit d", "ción"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,18 +32,31 @@ def build_session(app: str = "orderlens", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediates, under the session's `spark.checkpoint.dir`.
+_local_base: list[str] = []
 
-    Executors must all see it, so a machine-local folder is used only when the session itself
-    is local and names no checkpoint folder.
-    """
+
+def _base(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; executors must all see it, so a machine-local folder, which
+    goes when the process ends, is used only when the session is local and names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="orderlens-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not _local_base:
+        _local_base.append(tempfile.mkdtemp(prefix="orderlens-"))
+        atexit.register(shutil.rmtree, _local_base[0], ignore_errors=True)
+    return _local_base[0]
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediates, under a folder of this application."""
+    return os.path.join(_base(spark), f"app-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A folder that keeps its name, for results that later runs go on with."""
+    return os.path.join(_base(spark), "kept", name)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (bernoulli, clip, either, mask_null, return_logit, sigmoid)
 from ..operators.routing import left_lookup
-from ..operators.running import (HOT_ROWS, Running, day_bucket, hot_bucket, hot_keys, plain_running,
-                                 running)
-from ..session import work_dir
-from .files import cache_features
+from ..operators.running import HOT_ROWS, PIECE_ROWS, Running, running_over
 from .tables import table
 
 # Stand-ins in the star schema for the values that the score singles out.
@@ -94,27 +91,20 @@ def _orders(orders: DataFrame) -> DataFrame:
                          F.to_date("o_orderdate").alias("order_date"), "o_orderpriority")
 
 
-def customer_history(facts: DataFrame, orders: DataFrame,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def customer_history(facts: DataFrame, orders: DataFrame, hot_rows: int = HOT_ROWS,
+                     piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Adds prior orders, prior returns and tenure per customer, in (date, key) order.
 
     `facts` carries o_orderkey, o_custkey, order_date and line_returned. Customers with very many
-    orders are cut by day and key; the count that finds them reads one column of the raw order table.
+    orders are cut into pieces, see `running_over`.
     """
     wanted = {
         "num_previous_orders": Running("count", F.lit(1), default=0),
         "num_previous_returns": Running("sum", F.col("line_returned"), default=0),
         "first_order": Running("min", F.col("order_date"), inclusive=True),
     }
-    order = [F.col("order_date"), F.col("o_orderkey")]
-    hot = hot_keys(orders.select("o_custkey"), "o_custkey", hot_rows)
-    if hot is None:
-        out = plain_running(facts, ["o_custkey"], order, wanted)
-    else:
-        # read twice below, so the joins behind it are run once into a written table
-        facts = cache_features(facts, work_dir(facts.sparkSession, "order-facts"))
-        bucketed = hot_bucket(facts, "o_custkey", day_bucket(*order), hot)
-        out = running(bucketed, ["o_custkey"], order, "_bucket", wanted)
+    out = running_over(facts, "o_custkey", ["order_date", "o_orderkey"], wanted, hot_rows=hot_rows, piece_rows=piece_rows,
+                       seen=orders)
     return (out.withColumn("customer_tenure_days",
                            F.datediff("order_date", "first_order").cast("bigint"))
             .drop("first_order"))
@@ -133,7 +123,7 @@ def with_score(df: DataFrame, *, fit_categories=FIT_CATEGORIES, cod_value=COD_VA
 
 def risk_orders(spark: SparkSession, folder: str, *, label: str = "drawn",
                 distance: bool = True, score: bool = False,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row per order with the columns of `schemas.ORDERS`.
 
     `label="drawn"` draws the label from the fixed score; `label="lines"` uses the share of
@@ -158,7 +148,7 @@ def risk_orders(spark: SparkSession, folder: str, *, label: str = "drawn",
             "delivery_distance_km", nation_distance(F.col("nations"), F.col("c_nationkey"))).drop(
             "nations", "c_custkey", "c_nationkey")
     facts = left_lookup(facts, part, "top_partkey", "p_partkey", ["o_orderkey"])
-    out = customer_history(facts, orders, hot_rows)
+    out = customer_history(facts, orders, hot_rows, piece_rows)
 
     gap_days = F.abs(F.datediff(F.to_date("first_ship"), "order_date")).cast("bigint")
     key = F.col("o_orderkey")

@@ -90,6 +90,34 @@ def test_grid_search_prepares_inside_each_fold(orders):
     assert gap["gap"] == abs(gap["cv_auc"] - 0.5)
 
 
+def test_a_search_goes_on_where_it_stopped(spark, orders, tmp_path, monkeypatch):
+    train = stratified_folds(orders.filter("split = 'train'"), "returned", "order_id", 3)
+    options = dict(k=3, trees=(2, 3), depths=(2,), prep=OrderPrep(["x", "flat"], ["k"]))
+    search = MD.GridSearch(str(tmp_path / "s"), **options)
+    ran, score = [], MD.GridSearch._score
+
+    def counted(self, learn, held, fold, position):
+        if len(ran) == 4:
+            raise RuntimeError("lost")
+        ran.append((fold, position))
+        score(self, learn, held, fold, position)
+    monkeypatch.setattr(MD.GridSearch, "_score", counted)
+    with pytest.raises(RuntimeError):
+        search.run(train)
+    monkeypatch.setattr(MD.GridSearch, "_score", lambda self, learn, held, fold, position: (
+        ran.append((fold, position)), score(self, learn, held, fold, position)))
+    best, table = MD.GridSearch(str(tmp_path / "s"), **options).run(train)
+    assert sorted(ran) == [(f, p) for f in range(3) for p in range(2)]  # nothing ran twice
+    areas = {(r["fold"], r["position"]): r["auc"] for r in search.areas(train).collect()}
+    assert len(ran) == 6 and len(areas) == 6
+    for r in table.collect():
+        assert r["cv_auc"] == pytest.approx(sum(areas[f, r["position"]] for f in range(3)) / 3, abs=1e-12)
+    again = MD.GridSearch(str(tmp_path / "s"), **options).run(train)[0]
+    a, b = (m.transform(orders).select("order_id", MD.probability().alias("p")).orderBy("order_id").collect()
+            for m in (best, again))
+    assert a == b and len(ran) == 6
+
+
 def test_baseline_predicts_the_majority(orders):
     out = MD.baseline_majority(orders, orders)
     assert [r[0] for r in out.select("prediction").distinct().collect()] == [0]

@@ -5,6 +5,8 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from orderlens.operators import quantile
+from orderlens.operators.category_index import IndexedPrep, category_slots
 from orderlens.operators.prep import OrderPrep
 from orderlens.operators.quantile import exact_medians
 from orderlens.operators.split import (hash_split, sample_per_class, stratified_folds,
@@ -117,3 +119,51 @@ def test_all_null_columns(spark):
     model = OrderPrep(["x"], ["k"]).fit(df)
     assert model.feature_names() == ["x"]
     assert model.transform(df).first()["features"].toArray().tolist() == [0.0]
+
+
+def test_medians_with_far_outliers_are_refined_before_ranking(spark, monkeypatch):
+    rnd = random.Random(11)
+    near = [rnd.random() for _ in range(4000)]
+    wide = near[:1990] + [1e12 * (1 + x) for x in near[:2010]]  # the bracket reaches over 10^12
+    rows = [(a, b, 5.0, None if i % 3 else a * 1e-9) for i, (a, b) in enumerate(zip(near, wide))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    ranked, real = [], quantile._ranked
+
+    def watched(rows, wanted):
+        for (c, _), (lo, hi, _) in wanted.items():
+            ranked.append(rows.filter(F.col(c).between(lo, hi)).count())
+        return real(rows, wanted)
+    monkeypatch.setattr(quantile, "_ranked", watched)
+    got = exact_medians(df, ["a", "b", "c", "d"], accuracy=50, most_ranked=40)
+    assert max(ranked) <= 40
+    for c, values in zip("abcd", zip(*rows)):
+        assert got[c] == statistics.median([v for v in values if v is not None])
+
+
+def test_category_index_equals_the_literal_one(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["b", "a", "c", None]), str(rnd.randrange(30)), rnd.choice([None, 1.0, 2.5, 9.0])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, k string, m string, x double")
+    train, other = df.filter("id < 400"), df.withColumn("k", F.when(F.col("id") % 50 == 0, F.lit("new")).otherwise(F.col("k")))
+    plain = OrderPrep(["x"], ["k", "m"]).fit(train)
+    wide = IndexedPrep(str(tmp_path / "c"), ["x"], ["k", "m"]).fit(train)
+    names = [r["name"] for r in wide.feature_names(spark).orderBy("position").collect()]
+    assert names == plain.feature_names()
+    PipelineModel(stages=[wide]).write().overwrite().save(str(tmp_path / "m"))
+    for model in (wide, PipelineModel.load(str(tmp_path / "m"))):
+        a = {r["id"]: r["features"].toArray().tolist() for r in plain.transform(other).collect()}
+        b = {r["id"]: r["features"].toArray().tolist() for r in model.transform(other).collect()}
+        assert a == b
+
+
+def test_many_categories_never_reach_the_driver(spark, tmp_path):
+    df = spark.range(300_000).select("id", F.concat(F.lit("v"), F.col("id") % 200_000).alias("k"), F.lit(1.0).alias("x"))
+    model = IndexedPrep(str(tmp_path / "c"), ["x"], ["k"]).fit(df)
+    assert model.statistics()["size"] == {"k": 200_000} and len(model.getOrDefault("stats")) < 500
+    row = model.transform(df.filter("id = 7")).first()["features"]
+    assert row.size == 200_001 and row.numNonzeros() == 1  # the constant is centred to zero
+    slots = model.slots(spark)
+    assert slots.agg(F.count_distinct("slot"), F.max("slot")).first()[:] == (200_000, 199_999)
+    assert slots.filter("value = 'v0'").first()["slot"] == 0
+    pieces = category_slots(df.groupBy(F.lit("k").alias("feature"), F.col("k").alias("value")).count(), piece_rows=20_000)
+    assert pieces.count() == 200_000

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from orderlens.operators import routing as RT
 from orderlens.plans.data_queries import PHRASES, turns_of
 from orderlens.schemas import CONVERSATIONS, EVENTS
-from orderlens.streaming import (read_stream, run_available, run_updates, stream_carry_context, stream_rates,
-                                 stream_screen)
+from orderlens.streaming import (carry_available, read_stream, run_available, run_updates, stream_carry_context,
+                                 stream_rates, stream_screen)
 
 
 def write_parts(df, folder, name, order, parts):
@@ -43,33 +43,61 @@ def test_screening_a_stream_equals_batch(spark, sf, turn_files):
 CONTEXT = ["conv_id", "turn", "session_order", "session_image", "missing_context"]
 
 
-def test_context_over_several_micro_batches_equals_batch(spark, sf, turn_files):
-    stream = turns_of(read_stream(spark, str(turn_files), "conversations", CONVERSATIONS, 1))
-    got = run_available(stream_carry_context(stream_screen(stream, **PHRASES)), "carry")
+def batch_context(spark, sf):
+    screened = RT.screen_turns(turns_of(spark.read.parquet(f"{sf}/conversations.parquet")), **PHRASES)
+    return RT.resolve_context(screened, order="order_ref").withColumn("session_order", F.col("session_order").cast("string"))
+
+
+@pytest.mark.parametrize("order", ["turn", "shuffled"])
+def test_context_does_not_depend_on_micro_batches(spark, sf, tmp_path, turn_files, order):
+    folder = turn_files
+    if order == "shuffled":  # turns come in any order, a file at a time
+        folder = tmp_path
+        write_parts(spark.read.parquet(f"{sf}/conversations.parquet"), folder, "conversations",
+                    F.xxhash64("conv_id", "turn"), 5)
+    stream = turns_of(read_stream(spark, str(folder), "conversations", CONVERSATIONS, 1))
+    got = carry_available(stream_carry_context(stream_screen(stream, **PHRASES)), "carry")
     assert got.filter("late").count() == 0
-    screened = RT.screen_turns(turns_of(spark.read.parquet(f"{sf}/conversations.parquet")),
-                               **PHRASES)
-    want = RT.resolve_context(screened, order="order_ref").withColumn(
-        "session_order", F.col("session_order").cast("string"))
     assert sorted(got.select(*CONTEXT).collect(), key=str) == \
-        sorted(want.select(*CONTEXT).collect(), key=str)
+        sorted(batch_context(spark, sf).select(*CONTEXT).collect(), key=str)
 
 
-def test_late_turn_reads_state_and_writes_nothing(spark, tmp_path):
+def arriving(spark, folder, batches):
     schema = "conv_id bigint, turn bigint, intent string, order_ref string, image_path string"
-    batches = [[(1, 2, "return_risk", "A", None), (1, 3, "return_risk", None, None)],
-               [(1, 1, "return_risk", "OLD", None), (1, 4, "return_risk", None, None)]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
-        part = next((tmp_path / f"b{i}").glob("part-*.parquet"))
-        (tmp_path / "turns.parquet").mkdir(exist_ok=True)
-        (tmp_path / "turns.parquet" / f"part{i}.parquet").write_bytes(part.read_bytes())
+    (folder / "turns.parquet").mkdir(exist_ok=True)
+    at = len(list((folder / "turns.parquet").iterdir()))
+    for i, rows in enumerate(batches, at):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{i}"))
+        part = next((folder / f"b{i}").glob("part-*.parquet"))
+        (folder / "turns.parquet" / f"part{i}.parquet").write_bytes(part.read_bytes())
         time.sleep(1.1)
-    stream = read_stream(spark, str(tmp_path), "turns",
-                         spark.createDataFrame([], schema).schema, 1)
-    rows = {r["turn"]: r for r in run_available(stream_carry_context(stream), "late").collect()}
-    assert rows[1]["late"] and rows[1]["resolved_order"] == "A"
-    assert not rows[4]["late"] and rows[4]["resolved_order"] == "A"
+    return read_stream(spark, str(folder), "turns", spark.createDataFrame([], schema).schema, 1)
+
+
+def test_turns_behind_a_gap_wait_and_are_answered_at_the_end(spark, tmp_path):
+    stream = arriving(spark, tmp_path, [[(1, 2, "return_risk", None, None), (2, 0, "policy", None, None)],
+                                        [(1, 0, "return_risk", "A", None), (2, 9, "return_risk", None, None)],
+                                        [(2, 7, "return_risk", "Z", None)]])
+    path = str(tmp_path / "out")
+    first = {(r["conv_id"], r["turn"]): r for r in carry_available(stream_carry_context(stream), "wait", path).collect()}
+    assert len(first) == 5 and first[1, 2]["resolved_order"] == "A"  # turn 1 never came: answered at the end
+    assert first[2, 9]["resolved_order"] == "Z" and not any(r["late"] for r in first.values())
+    # the missing turn comes in a later run
+    stream = arriving(spark, tmp_path, [[(1, 1, "return_risk", "B", None)], [(1, 0, "return_risk", "OLD", None)]])
+    again = run_available(stream_carry_context(stream), "wait", path, idle_batches=False)
+    rows = {(r["conv_id"], r["turn"], r["late"]): r for r in again.filter("conv_id = 1").collect()}
+    assert rows[1, 1, False]["resolved_order"] == "B" and rows[1, 2, False]["resolved_order"] == "B"
+    assert rows[1, 0, True]["resolved_order"] == "B"
+
+
+def test_a_gap_is_passed_over_when_patience_ends(spark, tmp_path):
+    stream = arriving(spark, tmp_path, [[(1, 0, "return_risk", "A", None), (1, 3, "return_risk", None, None)],
+                                        [(5, 0, "policy", None, None)], [(6, 0, "policy", None, None)],
+                                        [(1, 4, "return_risk", None, None), (1, 1, "return_risk", "LATE", None)]])
+    got = run_available(stream_carry_context(stream, patience_ms=1), "gap", idle_batches=False).collect()
+    rows = {(r["conv_id"], r["turn"]): r for r in got}
+    assert rows[1, 3]["resolved_order"] == "A" and not rows[1, 3]["late"]
+    assert rows[1, 1]["late"] and rows[1, 4]["resolved_order"] == "A"
 
 
 def test_rates_emit_closed_windows_only(spark, sf):
