@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import argmax, class_name, cut_points, risk_bucket, round_to
 from ..schemas import TARGET
-from ..session import work_dir
+from ..session import spread, work_dir
 from .metrics import balanced_weights, majority_class, roc_auc
 from .prep import OrderPrep
 
@@ -49,9 +49,10 @@ def fit_logistic(train: DataFrame, label: str = TARGET, features: str = "feature
 
 def forest(label: str = TARGET, features: str = "features", trees: int = 100,
            depth: int | None = None, seed: int = 42) -> RandomForestClassifier:
+    # deep trees: rows remember their node instead of walking down to it, and many nodes split at a time
     return RandomForestClassifier(
         labelCol=label, featuresCol=features, weightCol="weight", numTrees=trees,
-        maxDepth=MAX_DEPTH if depth is None else depth, seed=seed)
+        maxDepth=MAX_DEPTH if depth is None else depth, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)
 
 
 def fit_forest(train: DataFrame, label: str = TARGET, features: str = "features",
@@ -80,7 +81,7 @@ class GridSearch:
     """
 
     def __init__(self, path: str, *, label: str = TARGET, fold_col: str = "fold", k: int = 5, trees=(100, 200),
-                 depths=(6, 10, None), prep: OrderPrep | None = None, parallelism: int = 3, seed: int = 42):
+                 depths=(6, 10, None), prep: OrderPrep | None = None, parallelism: int = 2, seed: int = 42):
         self.path, self.label, self.fold_col, self.k, self.seed = path, label, fold_col, k, seed
         self.grid = [(t, MAX_DEPTH if d is None else d) for t in trees for d in depths]
         self.prep, self.parallelism = prep or OrderPrep(), parallelism
@@ -103,7 +104,7 @@ class GridSearch:
                 fitted.transform(rows).select(self.label, "weight", "features").write.mode("overwrite").parquet(
                     f"{self.path}/{name}")
             parts = [self._read(spark, n) for n in names]
-        return parts[0], parts[1]
+        return spread(parts[0]), parts[1]
 
     def _score(self, learn: DataFrame, held: DataFrame, fold: int, position: int) -> None:
         trees, depth = self.grid[position]
@@ -139,7 +140,7 @@ class GridSearch:
             best = best_params(table).first()
             data = with_class_weights(train, self.label)
             whole = self.prep.fit(data)
-            model = forest(self.label, trees=best["trees"], depth=best["depth"], seed=self.seed).fit(whole.transform(data))
+            model = forest(self.label, trees=best["trees"], depth=best["depth"], seed=self.seed).fit(spread(whole.transform(data)))
             PipelineModel(stages=[whole, model]).write().overwrite().save(f"{self.path}/model/pipeline")
             train.sparkSession.createDataFrame([(best["position"],)], "position int").write.mode(
                 "overwrite").parquet(f"{self.path}/model/metadata")
