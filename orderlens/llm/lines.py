@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import mix, slices, stored
+from .base import mix, owner, slices, stored
 
 BLANK = " \t\n\x0b\x0c\r"
 STEP = np.uint64(0x9E3779B97F4A7C15)  # any odd number: multiplier of the hash of a chunk
@@ -17,29 +18,29 @@ def line_hashes(lines: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
 
 
-def chunk_spans(hashes: np.ndarray, modulus: int, residues: tuple[int, ...], most: int) -> tuple[np.ndarray, ...]:
-    """(first line, last line, residue) of a document's content-defined chunks of two lines or more.
+def chunk_spans(hashes: np.ndarray, owner: np.ndarray, modulus: int, residues: tuple[int, ...], most: int
+                ) -> tuple[np.ndarray, ...]:
+    """(first line, last line, residue) of the content-defined chunks of two lines or more of all texts.
 
-    A rolling hash over two line hashes is taken behind every line. For each residue, a border follows
-    the lines where it has that residue, and every line opens a chunk that ends at the next border (none,
-    if that is more than `most` lines away). A chunk depends on its own lines alone, so the same lines
-    make the same chunks whatever stands around them; and since every rolling hash has some residue,
-    all residues together find every repeated passage of two lines or more.
+    `owner` numbers the text of each line. A rolling hash over two line hashes is taken behind every
+    line. For each residue, a border follows the lines where it has that residue, and every line opens a
+    chunk that ends at the text's next border (none, if that is more than `most` lines away). A chunk
+    depends on its own lines alone, so the same lines make the same chunks whatever stands around them;
+    and since every rolling hash has some residue, all residues together find every repeated passage of
+    two lines or more.
     """
-    n = len(hashes)
-    if n < 2:
-        none = np.zeros(0, np.int64)
-        return none, none, none
     rolling = mix(hashes[:-1], hashes[1:]) % np.uint64(modulus)  # behind lines 1, 2, ...
-    firsts, lasts, kinds = [], [], []
+    within = owner[1:] == owner[:-1]
+    firsts, lasts, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for residue in residues:
-        borders = np.flatnonzero(rolling == residue) + 1
-        opens = np.arange(int(borders[-1]) if len(borders) else 0)
-        ends = borders[np.searchsorted(borders, opens + 1)] if len(borders) else opens
-        near = ends - opens < most
-        firsts.append(opens[near])
-        lasts.append(ends[near])
-        kinds.append(np.full(int(near.sum()), residue))
+        borders = np.flatnonzero(within & (rolling == residue)) + 1
+        if len(borders):
+            opens = np.arange(int(borders[-1]))
+            ends = borders[np.searchsorted(borders, opens + 1)]
+            near = (ends - opens < most) & (owner[ends] == owner[opens])
+            firsts.append(opens[near])
+            lasts.append(ends[near])
+            kinds.append(np.full(int(near.sum()), residue))
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(kinds)
 
 
@@ -55,31 +56,33 @@ def chunk_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
         return mix((before[last + 1] - before[first]) * back[first], last - first)
 
 
-def chunks_of(text: str, shape: tuple) -> list[tuple[int, int, int, int]]:
-    """(first line, last line, residue, hash) of every chunk of a text that has a visible character."""
-    lines = text.split("\n")
+def shown_chunks(lines: list[str], owner: np.ndarray, shape: tuple) -> tuple[np.ndarray, ...]:
+    """(first line, last line, residue, hash) of the chunks that have a visible character."""
     hashes = line_hashes(lines)
-    first, last, kind = chunk_spans(hashes, *shape)
-    if not len(first):
-        return []
+    first, last, kind = chunk_spans(hashes, owner, *shape)
     seen = np.concatenate(([0], np.cumsum([bool(x.strip(BLANK)) for x in lines])))
     shown = seen[last + 1] > seen[first]
     first, last, kind = first[shown], last[shown], kind[shown]
-    return list(zip(first.tolist(), last.tolist(), kind.tolist(), chunk_hashes(hashes, first, last).astype(np.int64).tolist()))
+    return first, last, kind, chunk_hashes(hashes, first, last).astype(np.int64)
+
+
+def chunks_of(text: str, shape: tuple) -> list[tuple[int, int, int, int]]:
+    """The chunks of one text."""
+    lines = text.split("\n")
+    return list(zip(*[c.tolist() for c in shown_chunks(lines, np.zeros(len(lines), np.int64), shape)]))
 
 
 def _keys(shape: tuple):
     def run(batches):
         for batch in slices(batches, "text"):
-            rows: list[list[int]] = [[], [], [], []]
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                if text and "\n" in text:
-                    for first, _, kind, hashed in chunks_of(text, shape):
-                        for column, value in zip(rows, (at, first, kind, hashed)):
-                            column.append(value)
+            parts = pc.split_pattern(pc.fill_null(batch.column("text"), ""), "\n")
+            offsets = parts.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            of = owner(offsets)
+            first, _, kind, hashed = shown_chunks(parts.flatten().to_pylist(), of, shape)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
-                 pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())], names=["doc_id", "line", "kind", "hash"])
+                [batch.column("doc_id").take(pa.array(of[first])), pa.array((first - offsets[of[first]]).astype(np.int32)),
+                 pa.array(kind.astype(np.int32)), pa.array(hashed)], names=["doc_id", "line", "kind", "hash"])
     return run
 
 

@@ -1,13 +1,16 @@
 import collections
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from llm_helpers import EDGE_ROWS, LONG, WORD, edge_documents
 from pyspark.sql import functions as F
 
 from orderlens.llm import hosts, lines, pack, spans
-from orderlens.llm.base import n_words, read
+from orderlens.llm.base import mix, n_words, read
 from orderlens.llm.queries import op3_line_dedup, op6_pack, op7_span_dedup, op8_host_rules, tokenizer_path
 
 SHAPE = (2, (0, 1), 16)
@@ -92,26 +95,59 @@ def test_every_repeated_pair_of_lines_goes(spark, sf, tmp_path):
     assert all(r.n_removed == 0 for r in planted[::2]) and got[10**7].text == "same\nsame"
 
 
-def cut_spans(texts, run=3, least=12, unit=16):
+ENDS = re.compile(r"[.!?]+[\x20\x09-\x0D]+|\n+")
+
+
+def plain_units(text, unit):
+    """(words of each unit) of one text: sentences, long ones cut behind the smallest pair of each window."""
+    out, borders = [], [0, *[m.end() for m in ENDS.finditer(text)], len(text)]
+    for low, high in zip(borders, borders[1:]):
+        found = WORD.findall(text[low:high])
+        if not found:
+            continue
+        cuts = [0]
+        if len(found) > unit:
+            window = unit // 2
+            h = [xxhash.xxh3_64_intdigest(w.rstrip(".!?")) for w in found]
+            pairs = [int(x) for x in mix(np.array(h[:-1], np.uint64), np.array(h[1:], np.uint64))]
+            picked = {max(range(j, j + window), key=lambda i: (-pairs[i], i)) for j in range(len(pairs) - window + 1)}
+            cuts += sorted(i + 2 for i in picked if i + 2 < len(found))
+        out += [found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)])]
+    return out
+
+
+def unit_key(found):
+    return (*found[:-1], found[-1].rstrip(".!?"))
+
+
+def cut_spans(texts, run=3, least=12, unit=16, grow=True):
+    """Units kept of each text; every run is tried."""
     seen, out = set(), {}
     for key in sorted(texts):
-        units, drop = spans.sentences(texts[key], unit), set()
-        for p in range(len(units) - run + 1):
-            own = units[p:p + run]
-            if sum(u[2] for u in own) >= least:
-                name = tuple(u[3] for u in own)
-                if name in seen:
-                    drop.update(range(p, p + run))
-                seen.add(name)
-        out[key] = "".join(texts[key][u[0]:u[1]] for i, u in enumerate(units) if i not in drop) if drop else texts[key]
+        found = plain_units(texts[key], unit)
+        sizes, drop = [len(x) for x in found], set()
+        for p in range(len(found)):
+            for q in range(p + run, len(found) + 1):
+                n = sum(sizes[p:q])
+                grown = q - p > run
+                if grown and (not grow or n - sizes[p] >= least and n - sizes[q - 1] >= least):
+                    break
+                if n >= least and (not grown or n - sizes[p] < least or n - sizes[q - 1] < least):
+                    name = tuple(unit_key(x) for x in found[p:q])
+                    if name in seen:
+                        drop.update(range(p, q))
+                    seen.add(name)
+        out[key] = [w for i, x in enumerate(found) if i not in drop for w in x], len(found), len(drop)
     return out
 
 
-def test_span_dedup_equals_brute_force(spark, sf):
+@pytest.mark.parametrize("grow", [True, False])
+def test_span_dedup_equals_brute_force(spark, sf, grow):
     docs = read(spark, sf, "documents")
-    want = cut_spans({r.doc_id: r.text for r in docs.collect()})
-    rows = spans.span_dedup(docs).collect()
-    assert {r.doc_id: r.text for r in rows} == want and sum(r.n_removed for r in rows) > 0
+    want = cut_spans({r.doc_id: r.text for r in docs.collect()}, grow=grow)
+    rows = spans.span_dedup(docs, grow=grow).collect()
+    assert {r.doc_id: (WORD.findall(r.text), r.n_sentences, r.n_removed) for r in rows} == want
+    assert sum(r.n_removed for r in rows) > 0
 
 
 def test_planted_passage_goes_and_clean_text_stays(spark):
@@ -156,15 +192,29 @@ def test_a_passage_behind_other_words_of_its_sentence_goes(spark):
         assert not any(f"inner{i}" in left for i in range(9, 46))
 
 
+def cut_places(words, unit=16):
+    return spans.units(pa.array([" ".join(words)]), unit).start.tolist()
+
+
 def test_long_sentences_are_cut_alike_after_any_prefix():
     rng = np.random.default_rng(2)
     for _ in range(200):
         words = [f"w{x}" for x in rng.integers(0, 900, 120)]
         skip = int(rng.integers(1, 60))
-        whole, part = spans.steps(words, 8), spans.steps(words[skip:], 8)
+        whole, part = cut_places(words), cut_places(words[skip:])
         assert [x for x in whole if x >= skip + 9] == [x + skip for x in part if x >= 9]
-        assert all(b - a <= 8 for a, b in zip(whole, whole[1:])) and whole[0] <= 9 and 120 - whole[-1] <= 8
-    assert "".join("a b c d e f g h"[a:b] for a, b, _, _ in spans.sentences("a b c d e f g h", 4)) == "a b c d e f g h"
+        assert all(b - a <= 9 for a, b in zip(whole, [*whole[1:], 120]))
+
+
+def test_units_of_odd_texts():
+    texts = ["", None, " \n ", "a. b! c", "!!! ...", "x\n\ny z.\n\n", "a.b c?d. e", "w " * 40, "\n.\n! a"]
+    u = spans.units(pa.array(texts), 16)
+    for i, text in enumerate(texts):
+        own = plain_units(text or "", 16)
+        mine = slice(u.bounds[i], u.bounds[i + 1])
+        assert u.size[mine].tolist() == [len(x) for x in own]
+    same = spans.units(pa.array(["One two three. Four", "zero\nOne two three\nFour five"]), 16)
+    assert same.hash[0] == same.hash[3] and same.hash[1] != same.hash[4]
 
 
 def test_span_dedup_of_edge_rows(spark):
