@@ -11,6 +11,7 @@ from ..operators import importance as I
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import split as S
+from ..operators.logistic import newton_logistic
 from ..operators.prep import OrderPrep
 from ..session import shared_dir, work_dir
 from ..sources import files as FS
@@ -202,6 +203,17 @@ def q_fold_areas_fixed(spark, d):
                                         (F.col("position") == F.col("best")).alias("chosen"))
 
 
+@_query
+def q_logistic_newton(spark, d):
+    """Class-balanced logistic regression of two features: coefficients at the optimum."""
+    rows = MD.with_class_weights(scored(spark, d)).select("returned", "weight", *[
+        (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / s).alias(c) for c, s in X.NEWTON_SCALES.items()])
+    fit = newton_logistic(stored(rows, "newton"), list(X.NEWTON_SCALES), "returned", "weight")
+    return spark.createDataFrame(
+        [("intercept", round(fit.intercept, 6)), *[(c, round(float(v), 6)) for c, v in zip(X.NEWTON_SCALES, fit.coefficients)]],
+        "feature string, coefficient double")
+
+
 @_query
 def q_permutation_fixed(spark, d):
     """Mean and deviation of the area lost over 15 permutations of each column."""

@@ -516,6 +516,28 @@ measured AS (
          round({_ratio('tp', 'n_relevant')}, 4) AS recall FROM per_query)"""
 
 
+def _newton(steps: int = 10) -> str:
+    """Newton steps for an intercept and two coefficients, each solved by cofactors."""
+    (f1, s1), (f2, s2) = X.NEWTON_SCALES.items()
+    out = f"""
+points AS (SELECT returned::DOUBLE AS y, coalesce({f1}::DOUBLE, 0) / {s1!r}::DOUBLE AS x1,
+                  coalesce({f2}::DOUBLE, 0) / {s2!r}::DOUBLE AS x2,
+                  (SELECT count(*) FROM scored)::DOUBLE / (2 * count(*) OVER (PARTITION BY returned)) AS w FROM scored),
+b0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c)"""
+    for k in range(steps):
+        out += f""",
+s{k} AS (SELECT max(a) AS a, max(b) AS b, max(c) AS c, sum(w * (p - y)) AS g0, sum(w * (p - y) * x1) + max(b) AS g1,
+                sum(w * (p - y) * x2) + max(c) AS g2, sum(v) AS h00, sum(v * x1) AS h01, sum(v * x2) AS h02,
+                sum(v * x1 * x1) + 1 AS h11, sum(v * x1 * x2) AS h12, sum(v * x2 * x2) + 1 AS h22
+         FROM (SELECT *, w * p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(a + b * x1 + c * x2))) AS p FROM points, b{k}))),
+d{k} AS (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
+                h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM s{k}),
+b{k + 1} AS (SELECT a - (c00 * g0 + c01 * g1 + c02 * g2) / e AS a, b - (c01 * g0 + c11 * g1 + c12 * g2) / e AS b,
+                    c - (c02 * g0 + c12 * g1 + c22 * g2) / e AS c
+             FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS e FROM d{k}))"""
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     v = f"WITH {_NEIGHBOURS}"
     rate = ("SELECT {g}, round_even(avg(returned::DOUBLE), 4) AS rate, count(*) AS n_rows "
@@ -721,6 +743,10 @@ FROM per_query"""
   SELECT returned AS y, CAST(((rn - 1) * 5) // size AS INTEGER) AS fold,
          CAST(unnest(range({len(X.CANDIDATES)})) AS INTEGER) AS position, unnest([{candidates}]) AS p FROM numbered),
 fold_areas AS ({_area('position, fold', 'long')})""")
+    names = list(X.NEWTON_SCALES)
+    out["q_logistic_newton"] = _orders(
+        f"SELECT 'intercept' AS feature, round(a, 6) AS coefficient FROM b10 UNION ALL SELECT {_q(names[0])}, round(b, 6) "
+        f"FROM b10 UNION ALL SELECT {_q(names[1])}, round(c, 6) FROM b10", _newton())
     out["q_impurity_fixed"] = _orders(
         "SELECT feature, round(importance::DOUBLE, 9) AS importance, CASE feature " + " ".join(
             f"WHEN {_q(c)} THEN (SELECT avg(({c} IS NULL)::INT::DOUBLE) FROM scored)" for c in X.FIXED_WEIGHTS)

@@ -21,6 +21,8 @@ CANDIDATES = [
     {"discount_pct": 0.125, "delivery_days": 0.0625, "num_previous_orders": -0.03125},
     {"delivery_days": 0.25}]
 
+NEWTON_SCALES = {"discount_pct": 10.0, "delivery_days": 21.0}  # features of the regression and their scales
+
 # Phrases that occur in the conversation table (its texts never contain the default ones).
 INJECTION = ["worthl", "der die", "stion of", "que la ", "estha"]
 RISK = ["ing th", "tion de", "heit d", "ción"]

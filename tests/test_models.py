@@ -170,3 +170,22 @@ def test_linear_head_on_separable_vectors(spark):
     out = MD.apply_linear_head(df, MD.fit_linear_head(df))
     assert M.accuracy(out, "label", "predicted").first()["accuracy"] == 1.0
     assert out.select(array_to_vector("probs")).count() == 60
+
+
+def test_newton_steps_reach_the_optimum_of_the_library_fit(spark, orders, prep):
+    from orderlens.operators.logistic import newton_logistic
+
+    train = MD.with_class_weights(orders.filter("split = 'train'"))
+    encoded = prep.encoded(train, ["returned", "weight"])
+    names = [c for c in encoded.columns if c not in ("returned", "weight")]
+    plain = encoded.toDF("returned", "weight", *[f"f{i}" for i in range(len(names))])
+    fit = newton_logistic(plain.repartition(3), [f"f{i}" for i in range(len(names))], "returned", "weight")
+    model = MD.fit_logistic(prep.transform(orders.filter("split = 'train'")))
+    assert fit.steps < 15
+    assert fit.coefficients == pytest.approx(model.coefficients.toArray(), abs=1e-3)
+    x = np.array([[*r[2:]] for r in plain.collect()], float)
+    y, w = np.array([[r[0], r[1]] for r in plain.collect()], float).T
+    p = 1 / (1 + np.exp(-(x @ fit.coefficients + fit.intercept)))
+    assert np.abs(x.T @ (w * (p - y)) + fit.coefficients).max() < 1e-6 and abs((w * (p - y)).sum()) < 1e-6
+    nulls = plain.unionByName(plain.limit(3).withColumn("f0", F.lit(None).cast("double")))
+    assert newton_logistic(nulls, [f"f{i}" for i in range(len(names))], "returned", "weight").intercept == pytest.approx(fit.intercept, abs=1e-8)
