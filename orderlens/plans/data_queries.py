@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from ..operators import category_index as CI
 from ..operators import confusion as C
+from ..operators import hash_tables as HT
 from ..operators import metrics as M
 from ..operators import postings as PO
 from ..operators import prep as P
@@ -341,6 +342,24 @@ def q_topk(spark, d):
     return neighbours(spark, d).select("query_id", "item_id", "score", "rank")
 
 
+def approximate_neighbours(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    index = HT.build_hash_index(e, item_id="vec_id", item_vec="embedding", tables=X.TABLES, bucket_rows=X.BUCKET_ROWS,
+                                keep=X.KEEP)
+    return HT.hash_top_k(e, index, 3, query_id="vec_id", query_vec="embedding", probes=X.PROBES, exclude_self=True)
+
+
+@_query
+def q_approximate_topk(spark, d):
+    return approximate_neighbours(spark, d)
+
+
+@_query
+def q_approximate_recall(spark, d):
+    """How many of the exact three neighbours the hash tables find."""
+    return HT.recall(approximate_neighbours(spark, d), neighbours(spark, d))
+
+
 @_query
 def q_nn_predict(spark, d):
     return nearest_label(spark, d)

@@ -296,6 +296,28 @@ _APPLY = "SELECT order_id, split, " + ", ".join(
 
 # ---- vectors ----------------------------------------------------------------------------------
 
+_HASHED = f"""
+posted AS (SELECT vec_id, v FROM (
+  SELECT vec_id, v, row_number() OVER (PARTITION BY v ORDER BY vec_id) AS copy FROM vectors) WHERE copy <= {X.KEEP}),
+bits AS (SELECT greatest(1, CAST(ceil(log2(ceil(count(*) / {X.BUCKET_ROWS}.0))) AS INT)) AS n FROM posted),
+signs AS (
+  SELECT t, b, list(CASE WHEN md5(t || ':' || b || ':' || d)[1] < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
+                    ORDER BY d) AS s
+  FROM range({X.TABLES}) AS a(t), range(30) AS c(b), range({X.DIMENSIONS}) AS e(d), bits WHERE b < n GROUP BY t, b),
+sides AS (SELECT vec_id, t, b, list_inner_product(v, s) AS m FROM vectors, signs),
+codes AS (SELECT vec_id, t, sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM sides GROUP BY vec_id, t),
+looks AS (
+  SELECT vec_id, t, code FROM codes UNION ALL
+  SELECT vec_id, t, xor(code, (1 << b)::BIGINT) FROM codes JOIN (
+    SELECT vec_id, t, b, row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(m), b) AS near FROM sides)
+  USING (vec_id, t) WHERE near <= {X.PROBES}),
+met AS (
+  SELECT DISTINCT l.vec_id AS query_id, c.vec_id AS item_id
+  FROM looks l JOIN codes c USING (t, code) JOIN posted p ON p.vec_id = c.vec_id WHERE l.vec_id <> c.vec_id),
+met_hits AS (SELECT * FROM (
+  SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+  FROM met JOIN pairs USING (query_id, item_id)) WHERE rank <= 3)"""
+
 _NEIGHBOURS = """
 vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 pairs AS (
@@ -629,6 +651,11 @@ SELECT o_orderkey, o_totalprice, x AS shuffled_o_totalprice FROM a JOIN b ON a.i
             "AS cut_points FROM scored, (SELECT threshold AS t FROM sweep "
             "ORDER BY f1 DESC, threshold LIMIT 1)", _sweep()),
         "q_topk": f"{v} SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM hits",
+        "q_approximate_topk": f"{v}, {_HASHED} SELECT query_id, item_id, score, CAST(rank AS INTEGER) AS rank "
+                              "FROM met_hits",
+        "q_approximate_recall": f"{v}, {_HASHED} SELECT count(*) AS n_exact, count(m.item_id) AS n_found, "
+                                "round(count(m.item_id) / count(*), 6) AS recall "
+                                "FROM hits h LEFT JOIN met_hits m USING (query_id, item_id)",
         "q_nn_predict": f"{v} SELECT * FROM nearest",
         "q_confusion_matrix": f"{v} SELECT t AS true_label, " + ", ".join(
             f"CAST(sum(CASE WHEN p = {i} THEN n ELSE 0 END) AS BIGINT) AS p_{i}"

@@ -8,6 +8,7 @@ SEED = 42
 WIDTH = 1 << 30         # slots of words
 CLASSES = 10
 DIMENSIONS = 64         # of the vectors in the embedding table
+TABLES, BUCKET_ROWS, PROBES, KEEP = 12, 64, 3, 16  # hash tables of the approximate search
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)  # fixed values
 
 # stated weights of the stand-in model, by feature
