@@ -1,4 +1,5 @@
 import glob
+import math
 import os
 import zlib
 
@@ -121,6 +122,54 @@ def test_tree_splits_quotas_exactly_and_like_the_distribution(spark):
     assert abs(np.mean(lefts) - 500) < 5 * 13.7 / 12 ** 0.5 and 4 < np.std(lefts) < 30
 
 
+def log_mass(n, m, k):
+    """Exact log probabilities of all values, by gamma functions."""
+    lf = math.lgamma
+    choose = lambda a, b: lf(a + 1) - lf(b + 1) - lf(a - b + 1)
+    low, high = max(0, k - (n - m)), min(m, k)
+    return low, np.array([choose(m, x) + choose(n - m, k - x) - choose(n, k) for x in range(low, high + 1)])
+
+
+def test_hat_covers_every_table():
+    for n in range(2, 41):
+        for m in range(1, n // 2 + 1):
+            for k in range(1, n // 2 + 1):
+                low, logs = log_mass(n, m, k)
+                part = m / n
+                sd = math.sqrt(k * part * (1 - part) * (n - k) / (n - 1) + 0.5)
+                x = low + np.arange(len(logs))
+                away = np.maximum(abs(x - k * part - 0.5), abs(x + 1 - k * part - 0.5))
+                assert (away * np.exp((logs - logs.max()) / 2) <= (mix.WIDE * sd + mix.WIDER) / 2 + 1e-9).all()
+
+
+@pytest.mark.parametrize("n, m, k", [(10, 3, 5), (50, 45, 30), (1000, 400, 900), (40_000, 9_000, 20_000),
+                                     (1_000_000, 700_000, 500_000)])
+def test_draws_follow_the_exact_distribution(spark, n, m, k):
+    draws = 20_000
+    got = spark.range(draws).select(mix._hypergeometric(F.lit(n), F.lit(m), F.lit(k), F.xxhash64("id")).alias("x"))
+    counts = {r.x: r["count"] for r in got.groupBy("x").count().collect()}
+    low, logs = log_mass(n, m, k)
+    assert min(counts) >= low and max(counts) < low + len(logs)
+    seen = np.cumsum([counts.get(low + i, 0) for i in range(len(logs))]) / draws
+    assert abs(seen - np.cumsum(np.exp(logs))).max() < 1.95 / math.sqrt(draws)  # Kolmogorov, 0.1 %
+
+
+def test_draws_from_very_many(spark):
+    n, m, k, draws = 40 * 10 ** 12, 13 * 10 ** 12, 20 * 10 ** 12, 4_000
+    got = spark.range(draws).select(mix._hypergeometric(F.lit(n), F.lit(m), F.lit(k), F.xxhash64("id")).alias("x"))
+    x = np.array([r.x for r in got.collect()], float)
+    sd = math.sqrt(k * (m / n) * (1 - m / n) * (n - k) / (n - 1))
+    z = np.sort((x - k * m / n) / sd)
+    normal = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+    assert abs(normal - (np.arange(draws) + 0.5) / draws).max() < 1.95 / math.sqrt(draws)
+
+
+def test_draws_without_a_choice(spark):
+    rows = spark.createDataFrame([(0, 0, 0), (5, 0, 3), (5, 5, 3), (5, 2, 5), (5, 2, 0), (1, 1, 1)], "n long, m long, k long")
+    got = rows.select("n", "m", "k", mix._hypergeometric(F.col("n"), F.col("m"), F.col("k"), F.lit(7)).alias("x")).collect()
+    assert [r.x for r in got] == [0, 0, 3, 2, 0, 1]
+
+
 def test_classifier_held_out_accuracy(spark):
     rows = {r.doc_id: r for r in op9_quality(spark, "/root/testdata/sf0.1").collect()}
     labels = {r.doc_id: r.quality for r in read(spark, "/root/testdata/sf0.1", "labels").collect()}
