@@ -34,7 +34,9 @@ SMALL_ROWS = 20_000
 SMALL_BYTES = 64 << 20
 CENTRE_BYTES = 32 << 20  # all centres together; with more rows, blocks are split into parts instead
 SLACK = 1e-6  # scores are compared after rounding, bounds with room for it
-TILE_CELLS = 4 << 20  # scores held at once: 32 MB of doubles
+TILE_CELLS = 1 << 20  # scores held at once: 8 MB of doubles, 4 MB of floats
+STRIPES = 32          # columns that a rough maximum stands for
+MANY = 64             # rough candidates per query, on average, above which all scores are worked out exactly
 
 
 def _matrix(column) -> np.ndarray:
@@ -67,21 +69,64 @@ def _best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
+def _own_cells(query_ids, item_ids) -> tuple[np.ndarray, np.ndarray]:
+    """(query position, item position) of equal ids; `item_ids` are sorted."""
+    first = np.searchsorted(item_ids, query_ids, side="left")
+    n = np.searchsorted(item_ids, query_ids, side="right") - first
+    return np.repeat(np.arange(len(query_ids)), n), np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def _screened(query_vecs, rough_queries, item_vecs, rough_items, room, own, k, digits):
+    """(row, column, score) of the k best columns per row, or None where a rough look does not help.
+
+    Products of floats are `room` / 2 from the true ones at most. The k-th best of the maxima over k or more
+    stripes of columns is no better than the k-th best product, so what lies further than `room` and the
+    rounding below it is no hit; the rest is scored in doubles.
+    """
+    rough = rough_queries @ rough_items
+    rough[own] = -np.inf
+    n = rough.shape[1] // STRIPES
+    tops = rough[:, :n * STRIPES].reshape(len(rough), STRIPES, n).max(axis=1)
+    floor = np.partition(tops, n - k, axis=1)[:, n - k] - room - 2 * 10.0 ** -digits
+    at = np.flatnonzero(rough >= floor[:, None].astype(np.float32))
+    if len(at) > max(MANY, 2 * k) * len(rough) or not np.isfinite(floor).all():
+        return None
+    rows, cols = np.divmod(at, rough.shape[1])
+    scores = np.round(np.einsum("ij,ij->i", query_vecs[rows], item_vecs[cols]), digits)
+    order = np.lexsort((cols, -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[best], cols[best], scores[best]
+
+
 def _score_block(query_ids, query_vecs, item_ids, item_vecs, k, exclude_self, digits):
     """(query position, item position, score) of the k best items per query."""
     order = np.argsort(item_ids, kind="stable")
-    items = item_vecs[order].T
+    item_ids, item_vecs = item_ids[order], item_vecs[order]
+    items, rough_items = item_vecs.T, None
+    lengths = np.sqrt((query_vecs ** 2).sum(axis=1))
+    longest = np.sqrt((item_vecs ** 2).sum(axis=1).max())
+    if len(item_ids) >= 2 * STRIPES * (k + 1) and np.isfinite(lengths).all() and max(lengths.max(), longest) < 1e15:
+        rough_items, rough_queries = items.astype(np.float32), query_vecs.astype(np.float32)
+        room = (query_vecs.shape[1] + 4) * 2.0 ** -22 * lengths * longest
+    own = _own_cells(query_ids, item_ids) if exclude_self else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     out_q, out_i, out_s = [], [], []
     tile = max(1, TILE_CELLS // len(item_ids))
     for start in range(0, len(query_ids), tile):
-        scores = np.round(query_vecs[start:start + tile] @ items, digits)
-        if exclude_self:
-            same = query_ids[start:start + tile, None] == item_ids[order][None, :]
-            scores[same] = -np.inf
-        rows, cols = _best_columns(scores, k)
+        asked = slice(start, start + tile)
+        mine = slice(*np.searchsorted(own[0], (start, start + tile)))
+        hidden = own[0][mine] - start, own[1][mine]
+        hits = None if rough_items is None else _screened(
+            query_vecs[asked], rough_queries[asked], item_vecs, rough_items, room[asked], hidden, k, digits)
+        if hits is None:
+            scores = np.round(query_vecs[asked] @ items, digits)
+            scores[hidden] = -np.inf
+            rows, cols = _best_columns(scores, k)
+            hits = rows, cols, scores[rows, cols]
+        rows, cols, scores = hits
         out_q.append(rows + start)
         out_i.append(order[cols])
-        out_s.append(scores[rows, cols])
+        out_s.append(scores)
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 

@@ -130,3 +130,43 @@ def test_blocks_with_one_vector_for_a_third_and_fewer_items_than_k(spark):
     assert got == brute(list(range(90)), items, list(range(90)), items, 4, exclude=True)
     few = frame(spark, items[:5], list(range(5)))
     assert collect(exact_top_k(df, few, 9, block_rows=2, **run)) == brute(list(range(90)), items, list(range(5)), items[:5], 9)
+
+
+def test_a_rough_look_at_floats_loses_no_hit(monkeypatch):
+    from orderlens.operators import topk
+    rnd = np.random.default_rng(6)
+    dense = []
+    plain = topk._best_columns
+    monkeypatch.setattr(topk, "_best_columns", lambda scores, k: dense.append(scores.shape) or plain(scores, k))
+    items = rnd.normal(size=(3000, 16)) * 3
+    items[100:2000:7] += 1e-7  # differences below what floats hold
+    items[7::50] = items[7]    # ties across rounding
+    items[2001:2009] = items[100] + 4e-7
+    ids, q = rnd.permutation(3000), np.concatenate([items[:400], rnd.normal(size=(50, 16))])
+    asked = np.concatenate([ids[:400], np.arange(5000, 5050)])
+    for exclude in (False, True):
+        qi, ii, score = topk._score_block(asked, q, ids, items, 3, exclude, 6)
+        got = sorted(zip(qi.tolist(), (-score).tolist(), ids[ii].tolist()))
+        full = np.round(q @ items.T, 6)
+        want = []
+        for r in range(len(q)):
+            at = [(-full[r, c], ids[c]) for c in np.argsort(-full[r])[:80] if not (exclude and ids[c] == asked[r])]
+            want += [(r, s, int(i)) for s, i in sorted(at)[:3]]
+        assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in sorted(want)]
+        assert np.allclose([b for _, b, _ in got], [b for _, b, _ in sorted(want)], atol=2e-6)
+    assert not dense  # no matrix of doubles was sorted
+
+
+def test_many_copies_and_vectors_that_are_not_numbers_are_scored_in_full():
+    from orderlens.operators import topk
+    rnd = np.random.default_rng(8)
+    items = rnd.normal(size=(2000, 8))
+    items[::2] = items[0]
+    qi, ii, score = topk._score_block(np.arange(20), items[:20], np.arange(2000), items, 3, False, 6)
+    full = np.round(items[:20] @ items.T, 6)
+    for r in range(20):
+        want = sorted(range(2000), key=lambda c: (-full[r, c], c))[:3]
+        assert set(ii[qi == r]) == set(want)
+    odd = items.copy()
+    odd[3] = np.inf
+    assert len(topk._score_block(np.arange(20), odd[:20], np.arange(2000), odd, 3, False, 6)[0])
