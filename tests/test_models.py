@@ -189,3 +189,40 @@ def test_newton_steps_reach_the_optimum_of_the_library_fit(spark, orders, prep):
     assert np.abs(x.T @ (w * (p - y)) + fit.coefficients).max() < 1e-6 and abs((w * (p - y)).sum()) < 1e-6
     nulls = plain.unionByName(plain.limit(3).withColumn("f0", F.lit(None).cast("double")))
     assert newton_logistic(nulls, [f"f{i}" for i in range(len(names))], "returned", "weight").intercept == pytest.approx(fit.intercept, abs=1e-8)
+
+
+def test_permutation_scores_a_row_once_per_value_and_matches_plain_permutations(spark):
+    from hashlib import md5
+
+    from orderlens.plans.fixed_models import LinearScore
+
+    rnd = np.random.default_rng(5)
+    n, repeats = 60, 33  # more repeats than one number has bits
+    x = np.stack([rnd.integers(0, 2, n), rnd.integers(0, 3, n), rnd.random(n)], axis=1).astype(float)
+    y = (rnd.random(n) < 0.2 + 0.5 * x[:, 0]).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(n)], "k bigint, y int, a array<double>")
+    test, weights, fed = df.select("k", "y", array_to_vector("a").alias("features")), [0.5, 0.25, 0.125], []
+
+    class Counted(LinearScore):
+        def transform(self, df):
+            fed.append(df.count())
+            return super().transform(df)
+
+    got = {r[0]: r[1:] for r in I.permutation_importance(
+        Counted(weights), test, ["two", "three", "real"], key="k", label="y", repeats=repeats).collect()}
+    assert fed[0] <= n * 2 * (2 + 3 + repeats) and fed[1] == n  # two numbers of bits, not rows x columns x repeats
+
+    def area(score):
+        s = np.round(score, 6)
+        d = s[y == 1][:, None] - s[y == 0][None, :]
+        return ((d > 0) + 0.5 * (d == 0)).mean()
+
+    def order(tail):
+        return sorted(range(n), key=lambda i: (md5(f"{i}:{tail}".encode()).hexdigest(), i))
+    for j, name in enumerate(["two", "three", "real"]):
+        drops = []
+        for repeat in range(repeats):
+            shuffled = x.copy()
+            shuffled[order("slot"), j] = x[order(f"42:{repeat}"), j]
+            drops.append(area(x @ weights) - area(shuffled @ weights))
+        assert got[name] == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-12)
