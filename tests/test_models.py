@@ -201,16 +201,18 @@ def test_permutation_scores_a_row_once_per_value_and_matches_plain_permutations(
     x = np.stack([rnd.integers(0, 2, n), rnd.integers(0, 3, n), rnd.random(n)], axis=1).astype(float)
     y = (rnd.random(n) < 0.2 + 0.5 * x[:, 0]).astype(int)
     df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(n)], "k bigint, y int, a array<double>")
-    test, weights, fed = df.select("k", "y", array_to_vector("a").alias("features")), [0.5, 0.25, 0.125], []
+    test, weights, fed, parts = df.select("k", "y", array_to_vector("a").alias("features")), [0.5, 0.25, 0.125], [], []
 
     class Counted(LinearScore):
         def transform(self, df):
             fed.append(df.count())
+            parts.append(df.rdd.getNumPartitions())
             return super().transform(df)
 
     got = {r[0]: r[1:] for r in I.permutation_importance(
         Counted(weights), test, ["two", "three", "real"], key="k", label="y", repeats=repeats).collect()}
     assert fed[0] <= n * 2 * (2 + 3 + repeats) and fed[1] == n  # two numbers of bits, not rows x columns x repeats
+    assert parts[0] >= spark.sparkContext.defaultParallelism  # however few bytes they have
 
     def area(score):
         s = np.round(score, 6)
